@@ -24,7 +24,7 @@ from .vocabulary import Vocabulary
 
 #: Characters whose words are encoded together, words kept for later texts, and words of a long
 #: text taken at a time.
-GROUP_CHARS, KEPT_WORDS, LONG_CHARS, WORDS_AT_ONCE = 6_000_000, 300_000, 2_000_000, 200_000
+GROUP_CHARS, KEPT_WORDS, LONG_CHARS, WORDS_AT_ONCE = 3_000_000, 200_000, 2_000_000, 200_000
 
 
 class PairIndex:

@@ -72,23 +72,21 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES, overlap: int = 0) -> Iterator[tuple[int, int, int, int]]:
-    """(first row, end row, first byte, end byte): runs of whole rows of about ``most`` bytes;
-    a longer row is cut into pieces of ``most`` bytes that overlap by ``overlap``."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, end row): runs of whole rows of about ``most`` bytes, one row at least."""
     n, i = len(offsets) - 1, 0
     while i < n:
-        j = int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1
-        if j > i:
-            yield i, j, int(offsets[i]), int(offsets[j])
-            i = j
-            continue
-        s, e = int(offsets[i]), int(offsets[i + 1])
-        while s < e:
-            yield i, i + 1, s, min(e, s + most + overlap)
-            if s + most + overlap >= e:
-                break
-            s += most
-        i += 1
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, "right")) - 1)
+        yield i, j
+        i = j
+
+
+def small(batches: Iterator[pa.RecordBatch], column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut at whole rows into parts with about ``most`` bytes of the text column."""
+    for batch in batches:
+        _, at = buffers(batch.column(column))
+        for i, j in slices(at, most):
+            yield batch.slice(i, j - i)
 
 
 def _odd(seed: int) -> np.uint64:
