@@ -3,6 +3,7 @@ text buffers, and hashes of byte or word sequences held in numpy arrays."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -38,6 +39,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def tune(spark: SparkSession, rows: int = 2000) -> None:
+    """Keeps Arrow batches of whole texts small; a lower setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back, before its next task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote and no later step reads."""
     path = getattr(df, "_weftwork_path", None)

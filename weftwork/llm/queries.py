@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import automaton, bitslice, bpe, decontaminate, runlength, simhash, toxicity, transducer, urlfilter
+from . import automaton, bitslice, bpe, decontaminate, htmltext, runlength, simhash, toxicity, transducer, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runlength.long_repeats(table(spark, sf_dir, "documents"), window=50).drop("spans")
+    return runlength.long_repeats(table(spark, sf_dir, "documents"), window=50).drop("spans", "text_sha256")
 
 
 #: Fixed values of the query.
@@ -59,6 +59,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.repeated_passages(table(spark, sf_dir, "documents"), window=20).drop("spans")
 

@@ -23,7 +23,7 @@ from .repeats import Plan, repeated
 
 WINDOW, ANCHOR = 50, 20
 #: Bytes of pieces that one index takes; one anchor's pieces stay together.
-INDEX_BYTES = 1 << 20
+INDEX_BYTES = 1 << 19
 
 
 class RunLengthIndex:
@@ -188,21 +188,21 @@ def match(flat: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray
     return piece, offset, np.ones(len(piece), np.int64)
 
 
-REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
+REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, text_sha256 string"
 
 
 def _report(doc, raw, at, rows, mask, bounds) -> pd.DataFrame:
     out = []
     for d, s, e in zip(doc.tolist(), at[:-1].tolist(), at[1:].tolist()):
-        own = mask[s:e]
+        own, whole = mask[s:e], hashlib.sha256(raw[s:e].tobytes()).hexdigest()
         if own.any():
             step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
             begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
             kept = raw[s:e][~own].tobytes()
-            out.append((d, e - s, int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), np.stack([begin, end], 1).reshape(-1)))
+            out.append((d, e - s, int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), np.stack([begin, end], 1).reshape(-1), whole))
         else:
-            out.append((d, e - s, 0, 0, hashlib.sha256(raw[s:e].tobytes()).hexdigest(), np.zeros(0, np.int64)))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((d, e - s, 0, 0, whole, np.zeros(0, np.int64), whole))
+    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text_sha256"])
 
 
 def long_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -218,21 +218,22 @@ def long_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
 
 
 def remove_long_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text``; other columns stay. A document of
-    which nothing stays goes. A character of which a byte was cut loses its other bytes too."""
-    found = long_repeats(docs, window).select(F.col("doc_id").alias("_id"), "spans", "n_removed", "n_bytes").dropDuplicates(["_id"])
+    """``docs`` with the repeated bytes cut out of ``text``, and ``n_chars`` of what stays if there
+    is such a column; other columns and rows stay, texts that become empty too. A character of
+    which a byte was cut loses its other bytes."""
+    found = long_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "spans").dropDuplicates(["_id", "_sha"])
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
         def one(t, r):
-            if t is None or r is None or not len(r):
-                return t
             raw = t.encode()
             at = [0, *r, len(raw)]
             return b"".join(raw[at[i] : at[i + 1]] for i in range(0, len(at), 2)).decode("utf-8", "ignore")
 
-        return pd.Series([one(t, r) for t, r in zip(text, runs)], dtype=object)
+        return pd.Series([t if r is None else one(t, r) for t, r in zip(text, runs)], dtype=object)
 
-    joined = docs.join(found, docs.doc_id == found._id, "left")
-    kept = joined.where("n_removed is null or n_removed < n_bytes or n_bytes = 0")
-    return kept.withColumn("text", F.when(F.col("n_removed") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
+    joined = docs.join(found.withColumnRenamed("spans", "_spans"), (docs.doc_id == found._id) & (F.sha2(docs.text, 256) == found._sha), "left")
+    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut(docs.text, "_spans")).otherwise(docs.text))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs.n_chars))
+    return out.select(*docs.columns)
