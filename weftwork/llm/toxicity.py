@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, small, word_bounds
 from .repeats import word_hashes
 
-BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 8
+BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 2
 PER_CLASS, SAMPLE_BYTES, MET, THRESHOLD = 1500, 32768, 5, 0.7
 OPEN, CLOSE = np.uint8(0x02), np.uint8(0x03)
 
@@ -133,7 +133,23 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
         weights -= 0.02 * w_speed
         bias -= 0.1 * b_speed
     vectors[used] = small_vectors
-    return Model(vectors, weights, float(bias))
+    own = small_vectors @ (weights[1] - weights[0])
+    seg = np.bincount(lines, (np.bincount(owner, own[column], len(first)) * per_word)[word], len(seg_start)) / seg_size * SEGMENT
+    border = boundary(np.maximum.reduceat(seg, text_first), labels[has])
+    return Model(vectors, weights, float(np.log(THRESHOLD / (1 - THRESHOLD)) - border))
+
+
+def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
+    """The border of the two classes that has the fewest errors in the sample, in the middle of
+    where it can lie; the bias is set so that it gets the score THRESHOLD."""
+    order = np.argsort(logits, kind="stable")
+    logits, labels = logits[order], labels[order]
+    errors = np.concatenate([[0], np.cumsum(labels)]) + (labels == 0).sum() - np.concatenate([[0], np.cumsum(labels == 0)])
+    errors[1:-1][logits[1:] == logits[:-1]] = len(labels) + 1  # equal scores are not told apart
+    best = np.flatnonzero(errors == errors.min())
+    i = int(best[len(best) // 2])
+    edges = np.concatenate([[logits[0] - 1], logits, [logits[-1] + 1]])
+    return float((edges[i] + edges[i + 1]) / 2)
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
