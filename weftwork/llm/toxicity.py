@@ -141,7 +141,8 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
 
 def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
     """The border of the two classes that has the fewest errors in the sample, in the middle of
-    where it can lie; the bias is set so that it gets the score THRESHOLD."""
+    where it can lie, and above what words that no sample has score (0); the bias is set so that it
+    gets the score THRESHOLD."""
     order = np.argsort(logits, kind="stable")
     logits, labels = logits[order], labels[order]
     errors = np.concatenate([[0], np.cumsum(labels)]) + (labels == 0).sum() - np.concatenate([[0], np.cumsum(labels == 0)])
@@ -149,7 +150,7 @@ def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
     best = np.flatnonzero(errors == errors.min())
     i = int(best[len(best) // 2])
     edges = np.concatenate([[logits[0] - 1], logits, [logits[-1] + 1]])
-    return float((edges[i] + edges[i + 1]) / 2)
+    return max(0.25, float((edges[i] + edges[i + 1]) / 2))
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
@@ -170,7 +171,7 @@ SCHEMA = "doc_id bigint, score double, predicted int"
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every document, from its whole text alone.
 
-    A null, empty or wordless text scores by the bias alone. doc_id may be null or repeated: one
+    A null, empty or wordless text scores 0 (1 if all known labels are toxic). doc_id may be null or repeated: one
     row for each row. Extra columns are ignored; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32), model.weights, model.bias))
@@ -189,6 +190,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
                 has = np.flatnonzero(np.diff(rows) > 0)
                 worst[has] = np.maximum.reduceat(seg, np.searchsorted(seg_text, has))
             p = softmax_toxic(worst * SEGMENT + own.bias)
+            if own.bias < 20:  # else all labels were toxic
+                p[np.diff(rows) == 0] = 0.0
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
