@@ -45,11 +45,11 @@ def subwords(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     values = Sequence(BYTE_VALUE[marked])
     left = size[owner] - inner
     shift = np.uint64(64 - BUCKETS.bit_length() + 1)
-    words, buckets = [np.arange(len(size))], [(values.runs(offset, offset + size) >> shift).astype(np.int64)]
+    words, buckets = [np.arange(len(size), dtype=np.int32)], [(values.runs(offset, offset + size) >> shift).astype(np.int32)]
     for n in GRAMS:
         grams = values.fixed(n)
         ok = np.flatnonzero((left[: len(grams)] >= n) & (size[owner[: len(grams)]] > n))
-        words.append(owner[ok]), buckets.append((grams[ok] >> shift).astype(np.int64))
+        words.append(owner[ok].astype(np.int32)), buckets.append((grams[ok] >> shift).astype(np.int32))
     return np.concatenate(words), np.concatenate(buckets)
 
 
@@ -100,7 +100,9 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
     met = np.unique(word.astype(np.int64) * len(texts) + text_of_word) // len(texts)
     frequent = np.bincount(bucket, np.bincount(met, minlength=len(first))[owner], BUCKETS) >= MET
     owner, bucket = owner[frequent[bucket]], bucket[frequent[bucket]]
-    used, column = np.unique(bucket, return_inverse=True)
+    used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
+    column = np.searchsorted(used, bucket).astype(np.int32)
+    del bucket, frequent, met, text_of_word
     seg_start, seg_text = segments(rows)
     seg_size = np.minimum(SEGMENT, rows[seg_text + 1] - seg_start)
     lines = np.repeat(np.arange(len(seg_start)), seg_size)
