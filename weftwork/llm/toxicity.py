@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, small, word_bounds
+from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, release, small, word_bounds
 from .repeats import word_hashes
 
 BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 2
-PER_CLASS, SAMPLE_BYTES, MET, THRESHOLD = 1500, 32768, 5, 0.7
+PER_CLASS, SAMPLE_BYTES, MET, THRESHOLD = 1000, 32768, 5, 0.7
 OPEN, CLOSE = np.uint8(0x02), np.uint8(0x03)
 
 
@@ -206,7 +206,9 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
     """Trains on labelled documents that are not held out."""
-    return train(*sample(docs, labels.where(~held_out(F.col("doc_id"))), **bounds))
+    model = train(*sample(docs, labels.where(~held_out(F.col("doc_id"))), **bounds))
+    release()
+    return model
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
