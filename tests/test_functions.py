@@ -18,8 +18,8 @@ EXTRACT = [
 ]
 NORMAL = {
     "": ".", ".": ".", "/": "/", "./": "./", "/.": "/.", "/./": "/", "a/.": "a", "./a": "a", "./a/.": "a", "./a/./": "a/", "a/..": ".", "a/./..": ".", "a/../": "./", "/a/../": "/", "/a/./../": "/",
-    "../a": "../a", "/../a/": "/../a/", "neil//./test/moo/../bar/bob/../foo": "neil/test/bar/foo", "bar/foo/": "bar/foo/", "../../foo": "../../foo", "foo/../..///": "../", "foo/bar/../../neil": "neil",
-    "foo/../bar/../neil": "neil", "/foo/bar": "/foo/bar", "//./": "/", "//foo/./bar": "/foo/bar",
+    "../a": "../a", "/../a/": "/../a/", "pat//./test/moo/../bar/bob/../foo": "pat/test/bar/foo", "bar/foo/": "bar/foo/", "../../foo": "../../foo", "foo/../..///": "../", "foo/bar/../../pat": "pat",
+    "foo/../bar/../pat": "pat", "/foo/bar": "/foo/bar", "//./": "/", "//foo/./bar": "/foo/bar",
 }
 
 
