@@ -63,12 +63,15 @@ def test_bytes(docs, monkeypatch, small):
     if small:
         monkeypatch.setattr(repeats, "SLICE_SYMBOLS", 120)
         monkeypatch.setattr(runlength, "INDEX_BYTES", 500)
+        monkeypatch.setattr(repeats, "HOT", 1)
     rows, frame = docs
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in runlength.long_repeats(frame).collect()}
     assert got == brute_bytes(rows)
 
 
-def test_words(docs):
+@pytest.mark.parametrize("hot", [256, 1])
+def test_words(docs, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
     rows, frame = docs
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in automaton.repeated_passages(frame).collect()}
     assert got == brute_words(rows)

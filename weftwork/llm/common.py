@@ -39,11 +39,12 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def tune(spark: SparkSession, rows: int = 2000) -> None:
-    """Keeps Arrow batches of whole texts small; a lower setting of the session's own stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def tune(spark: SparkSession, rows: int = 2000, read: int = 512) -> None:
+    """Keeps Arrow batches and the Parquet reader's batches of whole texts small, so that neither the
+    JVM nor Python needs large arrays; lower settings of the session's own stay."""
+    for key, usual, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.parquet.columnarReaderBatchSize", "4096", read)):
+        if not 0 < int(spark.conf.get(key, usual)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def release() -> None:

@@ -23,20 +23,26 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence, buffers, is_word_table, materialize, mix, parts, powers, text_bytes, word_bounds
+if TYPE_CHECKING:
+    import pandas as pd  # scanning workers do without
+
+from .common import BYTE_VALUE, Sequence, buffers, is_word_table, materialize, mix, parts, release, small, text_bytes, tune, word_bounds
 
 POS_BITS = 21
-SLICE_SYMBOLS = 1 << 19
+SLICE_SYMBOLS = 1 << 18
 #: Text bytes that one range of anchor hashes or one block of documents stands for.
-RANGE_BYTES, BLOCK_BYTES = 12 << 20, 8 << 20
+RANGE_BYTES, BLOCK_BYTES = 6 << 20, 6 << 20
+#: An anchor with more different contexts than HOT has its pieces split: STEP windows at a time, keyed
+#: by the symbols that these windows have in common.
+HOT, STEP = 256, 4
 #: Rows with the same doc_id are told apart by this bit onwards of a position.
 ROW_BIT = 40
 
@@ -57,12 +63,14 @@ class Plan:
 # -- packing ---------------------------------------------------------------------------------
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 1, 4 or 8 bytes as byte planes, which compress well."""
+    """Columns of 1, 4 or 8 bytes as compressed byte planes: the JVM and shuffles see only these."""
     head = np.array([len(columns), len(columns[0]) if columns else 0, *(c.dtype.itemsize for c in columns)], np.int64)
-    return head.tobytes() + b"".join(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns)
+    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T) for c in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *planes]))
 
 
 def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     m, n = np.frombuffer(blob, np.int64, 2)
     sizes, at, out = np.frombuffer(blob, np.int64, m, 16), 16 + 8 * int(m), []
     for size, kind in zip(sizes.tolist(), kinds.split()):
@@ -168,7 +176,7 @@ def _scan(plan: Plan) -> Callable:
     """Batches of (doc_id, sub, text) to rows (range, kind, blob): kind 0 holds units, kind 1 marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 2):
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             sub = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << ROW_BIT
             get, rows = symbols_of(*buffers(batch.column(2)), plan.words)
@@ -198,15 +206,19 @@ def _scan(plan: Plan) -> Callable:
             for g, (c, d, e) in _split(by_range(mix(doc[row[gone]].view(np.uint64)), plan.ranges), doc[row[gone]], start[gone], n[gone]):
                 rid.append(g), kinds.append(1), blobs.append(pack(c, d, e))
             yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "blob"])
+            del h, ctx, row, start, n, found, blobs
+            release()
 
     return run
 
 
 def _settle(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """All records of a range to rows (block, kind, blob): kind 1 holds marks (doc, start, n),
-    kind 2 asks for pieces (doc, start, n, hash)."""
+    """All records of a range to rows (block, kind, blob): kind 1 holds marks (doc, start, n), kind 2
+    asks for pieces (doc, start, n, hash), kind 3 too, of hot anchors."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         h, ctx, doc, start, n = _joined(list(rows.blob[rows.kind == 0]), "u8 u8 i8 i8 u1")
         order = np.lexsort((start, doc, ctx, h))
         h, ctx, doc, start, n = (x[order] for x in (h, ctx, doc, start, n))
@@ -217,13 +229,15 @@ def _settle(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             gone = (np.arange(len(h)) != lead) if plan.within else (doc > doc[lead])
             group = np.cumsum(new_h) - 1
-            several = np.bincount(group, new) > 1
+            contexts = np.bincount(group, new)
+            several = contexts > 1
             if not plan.within:
                 at = np.flatnonzero(new_h)
                 several &= np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-            ask = ~gone & several[group]
-            for g, c in _split(block_of(doc[ask], plan.blocks), doc[ask], start[ask], n[ask], h[ask]):
-                out.append((g, 2, pack(*c)))
+            for kind, wanted in ((2, several & (contexts <= HOT)), (3, several & (contexts > HOT))):
+                ask = ~gone & wanted[group]
+                for g, c in _split(block_of(doc[ask], plan.blocks), doc[ask], start[ask], n[ask], h[ask]):
+                    out.append((g, kind, pack(*c)))
             marks = [(doc[gone], start[gone], n[gone])]
         else:
             marks = []
@@ -233,6 +247,7 @@ def _settle(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
             doc, start, n = (np.concatenate(x) for x in zip(*marks))
             for g, c in _split(block_of(doc, plan.blocks), doc, start, n):
                 out.append((g, 1, pack(*c)))
+        release()
         return pd.DataFrame(out, columns=["block", "kind", "blob"])
 
     return run
@@ -255,6 +270,7 @@ def _texts(plan: Plan) -> Callable:
                 body = b"".join([view[s:e] for s, e in zip(at[row].tolist(), at[row + 1].tolist())])
                 blocks.append(g), blobs.append(np.int64(len(head)).tobytes() + head + squeeze.compress(body))
             yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "blob"])
+        release()
 
     return run
 
@@ -298,28 +314,76 @@ def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
+def _parts(plan: Plan, symbols: np.ndarray, flat: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Splits pieces of hot anchors: (piece, first window, windows, key, content). A window's place
+    around its anchor follows from its symbols, so equal windows have it alike. STEP neighbouring
+    places share all but STEP - 1 of a window's symbols; these, and the place, are the key. How many
+    different contents a key has is then up to the language, not to the number of documents."""
+    size = n + plan.window - 1
+    offset = np.cumsum(size) - size
+    values = Sequence(BYTE_VALUE[symbols] if not plan.words else symbols)
+    grams = values.fixed(plan.anchor)
+    owner = np.repeat(np.arange(len(n)), size)[: len(grams)]
+    at = np.flatnonzero(grams == h[owner])
+    at = at[at + plan.anchor <= (offset + size)[owner[at]]]
+    anchor = at[np.unique(owner[at], return_index=True)[1]] - offset  # the first in each piece
+    piece = np.repeat(np.arange(len(n)), n)
+    window = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    place = (anchor[piece] - window) // STEP
+    first = np.flatnonzero(np.append(True, (piece[1:] != piece[:-1]) | (place[1:] != place[:-1])))
+    count = np.diff(np.append(first, len(piece)))
+    piece, window, place = piece[first], window[first], place[first]
+    begin = offset[piece] + anchor[piece] - place * STEP  # where the last of the places has its window start
+    core = values.runs(begin, begin - STEP + 1 + plan.window)
+    start = offset[piece] + window
+    return piece, window, count, mix(core + place.astype(np.uint64)), values.runs(start, start + count + plan.window - 1)
+
+
 def _fetch(plan: Plan) -> Callable:
-    """A block's texts and questions to rows (range, blob): pieces (hash, doc, start, n, symbols)."""
+    """A block's texts and questions to rows (range, kind, blob, symbols): kind 2 holds pieces (hash,
+    doc, start, n) and their symbols, kind 1 marks (doc, start, n)."""
 
     def run(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         out = []
-        if len(asked):
-            doc, start, n, h = _joined(list(asked.blob), "i8 i8 u1 u8")
-            for have, sub, raw, at in _open(list(texts.blob)):
+
+        def send(key, doc, start, n, symbols, flat) -> None:
+            size = n.astype(np.int64) + plan.window - 1
+            for g, (i,) in _split(by_range(key, plan.ranges), np.arange(len(key))):
+                out.append((g, 2, pack(key[i], doc[i], start[i], n[i]), symbols[_ranges(flat[i], size[i])].tobytes()))
+
+        every_asked = [(kind, _joined(list(asked.blob[asked.kind == kind]), "i8 i8 u1 u8")) for kind in (2, 3) if (asked.kind == kind).any()]
+        for have, sub, raw, at in _open(list(texts.blob)) if every_asked else ():
+            if plan.words:
+                begin, end, rows = word_bounds(is_word_table("space")[raw], at)
+                every = word_hashes(raw, begin, end)
+            else:
+                every, rows = raw, at
+            for kind, (doc, start, n, h) in every_asked:
                 which, row = _lookup(have, sub, doc, start)
                 if not len(which):
                     continue
-                if plan.words:
-                    begin, end, rows = word_bounds(is_word_table("space")[raw], at)
-                    every = word_hashes(raw, begin, end)
-                else:
-                    every, rows = raw, at
                 flat = rows[row] + (start[which] & ((1 << ROW_BIT) - 1))
-                size = n[which].astype(np.int64) + plan.window - 1
-                for g, (i,) in _split(by_range(h[which], plan.ranges), np.arange(len(which))):
-                    w = which[i]
-                    out.append((g, pack(h[w], doc[w], start[w], n[w]), every[_ranges(flat[i], size[i])].tobytes()))
-        return pd.DataFrame(out, columns=["range", "blob", "symbols"])
+                d, s, m, key = doc[which], start[which], n[which], h[which]
+                if kind == 2:
+                    send(key, d, s, m, every, flat)
+                    continue
+                m = m.astype(np.int64)
+                piece, window, count, key, content = _parts(plan, every[_ranges(flat, m + plan.window - 1)], flat, m, key)
+                d, s, flat = d[piece], s[piece] + window, flat[piece] + window
+                # Of equal contents the first here goes on; later documents' are settled.
+                order = np.lexsort((s, d, content))
+                new = np.append(True, content[order][1:] != content[order][:-1])
+                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+                late = np.zeros(len(order), bool)
+                late[order] = ~new if plan.within else d[order] > d[lead]
+                count = count.astype(np.uint8)
+                send(key[~late], d[~late], s[~late], count[~late], every, flat[~late])
+                for g, c in _split(by_range(content[late], plan.ranges), d[late], s[late], count[late]):
+                    out.append((g, 1, pack(*c), b""))
+        release()
+        return pd.DataFrame(out, columns=["range", "kind", "blob", "symbols"])
 
     return run
 
@@ -328,17 +392,26 @@ def _match(plan: Plan, matcher: Callable) -> Callable[[pd.DataFrame], pd.DataFra
     """All pieces of a range to rows (block, kind, blob) of marks."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        h, doc, start, n = _joined(list(rows.blob), "u8 i8 i8 u1")
-        flat = np.concatenate([np.frombuffer(x, np.uint64 if plan.words else np.uint8) for x in rows.symbols])
-        size = n.astype(np.int64) + plan.window - 1
-        offset = np.cumsum(size) - size
-        out = []
-        order = np.lexsort((start, doc, h))
-        doc, start, size, offset = doc[order], start[order], size[order], offset[order]
-        group = np.cumsum(np.append(True, np.diff(h[order].view(np.int64)) != 0)) - 1
-        piece, shift, count = matcher(flat[_ranges(offset, size)], size, group, doc, plan)
-        for g, c in _split(block_of(doc[piece], plan.blocks), doc[piece], start[piece] + shift, count.astype(np.uint8)):
-            out.append((g, 1, pack(*c)))
+        import pandas as pd
+
+        marks = [tuple(_joined(list(rows.blob[rows.kind == 1]), "i8 i8 u1"))]
+        pieces = rows[rows.kind == 2]
+        if len(pieces):
+            h, doc, start, n = _joined(list(pieces.blob), "u8 i8 i8 u1")
+            flat = np.concatenate([np.frombuffer(x, np.uint64 if plan.words else np.uint8) for x in pieces.symbols])
+            size = n.astype(np.int64) + plan.window - 1
+            offset = np.cumsum(size) - size
+            order = np.lexsort((start, doc, h))
+            group = np.cumsum(np.append(True, np.diff(h[order].view(np.int64)) != 0)) - 1
+            several = np.bincount(group)[group] > 1  # a piece alone has no equal windows
+            order, group = order[several], group[several]
+            doc, start, size, offset = doc[order], start[order], size[order], offset[order]
+            if len(order):
+                piece, shift, count = matcher(flat[_ranges(offset, size)], size, group, doc, plan)
+                marks.append((doc[piece], start[piece] + shift, count.astype(np.uint8)))
+        doc, start, n = (np.concatenate(x) for x in zip(*marks))
+        out = [(g, 1, pack(*c)) for g, c in _split(block_of(doc, plan.blocks), doc, start, n)]
+        release()
         return pd.DataFrame(out, columns=["block", "kind", "blob"])
 
     return run
@@ -349,6 +422,8 @@ def _finish(plan: Plan, report: Callable) -> Callable:
     makes; mask: the symbols that marked windows cover."""
 
     def run(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         doc, start, n = _joined(list(marks.blob), "i8 i8 u1")
         out = []
         for have, sub, raw, at in _open(list(texts.blob)):
@@ -376,13 +451,14 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def repeated(docs: DataFrame, *, words: bool, window: int, anchor: int, within: bool, matcher: Callable, report: Callable, schema: str) -> DataFrame:
     """Runs the steps above over ``docs`` and returns what ``report`` makes, one row a document."""
+    tune(docs.sparkSession)
     rows = numbered(docs)
     total = text_bytes(rows)
-    plan = Plan(words, window, anchor, within, parts(total, RANGE_BYTES, 16), parts(total, BLOCK_BYTES, 16))
+    plan = Plan(words, window, anchor, within, parts(total, RANGE_BYTES, 64), parts(total, BLOCK_BYTES, 64))
     units_ = rows.mapInArrow(_scan(plan), "range bigint, kind int, blob binary")
     settled = materialize(units_.groupBy("range").applyInPandas(_settle(plan), "block bigint, kind int, blob binary"), "settled")
     texts = lambda: rows.mapInArrow(_texts(plan), "block bigint, blob binary").groupBy("block")
-    pieces = texts().cogroup(settled.where("kind = 2").groupBy("block")).applyInPandas(_fetch(plan), "range bigint, blob binary, symbols binary")
+    pieces = texts().cogroup(settled.where("kind in (2, 3)").groupBy("block")).applyInPandas(_fetch(plan), "range bigint, kind int, blob binary, symbols binary")
     matched = pieces.groupBy("range").applyInPandas(_match(plan, matcher), "block bigint, kind int, blob binary")
     marks = settled.where("kind = 1").unionByName(matched)
     return texts().cogroup(marks.groupBy("block")).applyInPandas(_finish(plan, report), schema)
