@@ -77,3 +77,44 @@ def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 20)] + [(100, 101), (101, 100), (5, 5), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100}
+
+
+def jaccard(a, b, k=5):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in (a.lower().split(), b.lower().split())]
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+def test_keep_one_finds_all_similar_documents(spark):
+    rnd = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = ["", " \n", "one", "ONE", "a b c d e", "a b c d f"]
+    for n in (9, 30, 60, 200, 400):
+        for _ in range(4):
+            base = [rnd.choice(vocabulary) for _ in range(n)]
+            for edits in (0, 0, *range(1, 8)):
+                copy = list(base)
+                for _ in range(edits):
+                    copy[rnd.randrange(n)] = rnd.choice(vocabulary)
+                texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    label = list(range(len(texts)))
+    links = [(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in links:
+            if label[i] != label[j]:
+                label[i] = label[j] = min(label[i], label[j])
+                changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs, 5, 0.8).collect()} == dict(enumerate(label))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(label)
+
+
+def test_the_pipeline_keeps_one_of_similar_documents(spark):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(300)]
+    changed = [w if i not in (50, 150, 250) else "x" for i, w in enumerate(words)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, "other words of some text")], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, materialize
+from .common import SLICE_BYTES, buffers, discard, materialize, mix, release, small, tune
 from .components import connected_components
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
 #: Larger buckets are keyed by the third segment's codewords too.
 BUCKET = 64
+#: Bands of a set of shingles, and minima of each.
+BANDS, BAND = 24, 4
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -165,7 +167,11 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     """
     each = materialize(fingerprints(docs, k).where("doc_id is not null"), "fingerprints")
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    edges = links(classes.select("fp"))
+    return _components(each, classes, links(classes.select("fp")))
+
+
+def _components(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id): the least doc_id that edges between fingerprints reach."""
     named = edges.join(classes.select(F.col("fp").alias("a"), F.col("least").alias("la")), "a").join(classes.select(F.col("fp").alias("b"), F.col("least").alias("lb")), "b")
     # A doc_id that occurs with two texts stands for both fingerprints and so joins them.
     parts = connected_components(named.select(F.col("la").alias("a"), F.col("lb").alias("b")))
@@ -173,7 +179,90 @@ def near_duplicates(docs: DataFrame, k: int = 3) -> DataFrame:
     return each.join(mapped, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, k: int = 3) -> DataFrame:
-    """The rows of ``docs`` that are the least of their near-duplicate class."""
-    kept = near_duplicates(docs, k).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, fp, n, keys, shingles) of every document: its distinct shingle hashes, how many they
+    are, a hash of them all and one key a band of BAND minima, each under a permutation of its own."""
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    weights = rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    bands = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest as digest
+
+        for batch in small(batches, 1, SLICE_BYTES):
+            raw, at = buffers(batch.column(1))
+            raw = memoryview(raw)
+            sets = [np.unique(np.array(shingle_hashes(bytes(raw[s:e]), k), np.uint64)) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            least = np.full((len(sets), BANDS * BAND), (1 << 64) - 1, np.uint64)
+            for i, some in enumerate(sets):
+                for j in range(0, len(some), 1 << 12):
+                    np.minimum(least[i], (factors[:, None] * some[j : j + (1 << 12)]).min(1), out=least[i])
+            keys = mix((mix(least.reshape(-1, BANDS, BAND)) * weights).sum(2, dtype=np.uint64) + bands)
+            n = np.array([len(x) for x in sets], np.int32)
+            lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
+            fps = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64)
+            yield pa.record_batch(
+                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
+                ["doc_id", "fp", "n", "keys", "shingles"],
+            )
+            del sets, least, keys
+            release()
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, shingles array<bigint>")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` at least."""
+    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    used = materialize(sets.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    side = lambda x: used.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
+    both = pairs.join(side("a").drop("sa"), "a").join(side("b").drop("sb"), "b")
+    both = both.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6).select("a", "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    out = both.join(side("a"), "a").join(side("b"), "b").where(shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared) - 1e-6)
+    found = materialize(out.select("a", "b"), "alike")
+    discard(pairs), discard(used)
+    return found
+
+
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) of every document: documents whose sets of ``k``-word shingles have
+    a Jaccard similarity of ``similarity`` or more are linked; the class is the least doc_id that
+    links reach. ``fp`` is a hash of the set.
+
+    Such sets differ in far more than the few bits of a fingerprint that Golay keys can bridge (at
+    0.8 about 10 of 64), so candidates come from BANDS bands of BAND minima of the sets: a pair at
+    0.8 shares none with a probability of 3e-6. Every link is verified by counting. In a bucket,
+    members are compared with its least and greatest first; then all pairs that are not in one
+    component yet are compared, so a large group of copies needs no pairs within it.
+
+    Wordless texts have equal, empty sets. Rows with a null doc_id are left out; a doc_id that occurs
+    twice gives two rows. Extra columns are ignored; no rows give no rows.
+    """
+    tune(docs.sparkSession)
+    sets = materialize(shingle_sets(docs, k).where("doc_id is not null"), "shingles")
+    each = materialize(sets.select("doc_id", "fp"), "fingerprints")
+    classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
+    buckets = materialize(keyed.join(ends, "key"), "buckets")
+    star = buckets.select(F.col("fp").alias("a"), F.col("m").alias("b")).union(buckets.select("fp", "x"))
+    edges = _alike(star, sets, similarity)
+    parts = connected_components(edges)
+    members = materialize(buckets.join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
+    discard(buckets)
+    groups = members.select("key", "c").distinct()
+    apart = groups.select("key", F.col("c").alias("ca")).join(groups.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
+    rest = apart.join(members.select("key", F.col("c").alias("ca"), F.col("fp").alias("a")), ["key", "ca"]).join(members.select("key", F.col("c").alias("cb"), F.col("fp").alias("b")), ["key", "cb"])
+    edges = edges.union(_alike(rest.select("a", "b"), sets, similarity))
+    discard(members), discard(sets)
+    return _components(each, classes, edges)
+
+
+def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are the least of their class of similar documents."""
+    kept = similar_documents(docs, k, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     return docs.join(kept, docs.doc_id == kept._kept, "left_semi")
