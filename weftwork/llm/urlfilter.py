@@ -2,9 +2,10 @@
 
 Rules decide first: the longest rule that fits a url. For the rest, the paths of each host form a
 tree of segments. Segments that look variable (numbers, hashes, dates, long tokens) are wildcards
-from the start; a node with too many different children has them all made one wildcard; and
-branches of a node whose labelled purity does not differ significantly from that of the node's
-labelled branches together are merged into one. A template is rejected when it has enough labelled
+from the start; branches of a node whose labelled purity does not differ significantly from that of
+the node's labelled branches together are merged into one wildcard, and branches that differ stay
+apart, however many there are. Branches without labelled pages join the wildcard only where enough
+branches are labelled and most of these are alike. A template is rejected when it has enough labelled
 pages and their share of "block", smoothed towards its host's and that towards the whole table's,
 reaches a threshold. Everything is counted over all pages with DataFrame aggregations.
 """
@@ -17,10 +18,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of a path that are told apart, children of a node beyond which they are variable, labelled
-#: pages that a rejection needs, the smoothing's weight, the purity that rejects, and the z-score
-#: beyond which branches differ.
-DEPTH, CHILDREN, LABELLED, WEIGHT, PURITY, DIFFERENT = 6, 24, 5, 4.0, 0.8, 1.96
+#: Levels of a path that are told apart, labelled pages that a rejection needs (and labelled branches
+#: that speak for the others), the smoothing's weight, the purity that rejects (and the share of
+#: labelled branches that are alike where they speak for the others), and the z-score beyond which
+#: branches differ.
+DEPTH, LABELLED, WEIGHT, PURITY, DIFFERENT = 6, 5, 4.0, 0.8, 1.96
 WILD, REST = "*", "**"
 
 
@@ -57,17 +59,19 @@ def segments(path: Column) -> Column:
 
 def _generalise(rows: DataFrame, depth: int) -> DataFrame:
     """Chooses the segment at ``depth`` (from 0) of every row's template: its literal, or a wildcard
-    where the node has too many children or the branch is merged."""
+    where the branch is merged. The number of children does not count."""
     child = F.get("segs", F.lit(depth))
     here = rows.withColumn("child", F.coalesce(child, F.lit(""))).where(F.size("segs") > depth)
     done = rows.where(F.size("segs") <= depth)
     branch = here.groupBy("host", "template", "child").agg(F.sum("block").alias("cb"), F.sum("allow").alias("ca"))
-    node = branch.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("cb").alias("nb"), F.sum("ca").alias("na"), F.sum(F.when(F.col("cb") + F.col("ca") > 0, 1).otherwise(0)).alias("labelled"))
+    node = branch.groupBy("host", "template").agg(F.sum("cb").alias("nb"), F.sum("ca").alias("na"), F.sum(F.when(F.col("cb") + F.col("ca") > 0, 1).otherwise(0)).alias("labelled"))
     n, m = F.col("cb") + F.col("ca"), F.col("nb") + F.col("na")
     p = F.col("nb") / F.greatest(m, F.lit(1))
     spread = F.sqrt(p * (1 - p) / F.greatest(n, F.lit(1)))
     alike = (n > 0) & (F.col("labelled") > 1) & (F.abs(F.col("cb") / F.greatest(n, F.lit(1)) - p) <= DIFFERENT * spread)
-    chosen = branch.join(node, ["host", "template"]).select("host", "template", "child", F.when((F.col("children") > CHILDREN) | alike, WILD).otherwise(F.col("child")).alias("to"))
+    tested = branch.join(node, ["host", "template"]).withColumn("alike", alike)
+    uniform = tested.groupBy("host", "template").agg(((F.max("labelled") >= LABELLED) & (F.count(F.when(F.col("alike"), 1)) >= PURITY * F.max("labelled"))).alias("uniform"))
+    chosen = tested.join(uniform, ["host", "template"]).select("host", "template", "child", F.when(F.col("alike") | ((n == 0) & F.col("uniform")), WILD).otherwise(F.col("child")).alias("to"))
     moved = here.join(chosen, ["host", "template", "child"]).withColumn("template", F.concat("template", F.lit("/"), "to"))
     return done.unionByName(moved.select(*done.columns))
 
