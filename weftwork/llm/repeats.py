@@ -189,10 +189,10 @@ def _scan(plan: Plan) -> Callable:
             if (np.diff(rank) < 0).any():
                 order = np.argsort(rank[row], kind="stable")
                 h, ctx, row, start, n = (x[order] for x in (h, ctx, row, start, n))
-            order = np.argsort(ctx, kind="stable")
-            sorted_ctx = ctx[order]
+            order = np.lexsort((ctx, h))  # stable
+            sorted_h, sorted_ctx = h[order], ctx[order]
             new = np.ones(len(order), bool)
-            new[1:] = sorted_ctx[1:] != sorted_ctx[:-1]
+            new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_ctx[1:] != sorted_ctx[:-1])
             first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
             late = np.zeros(len(order), bool)
             late[order] = (order != first) if plan.within else (doc[row[order]] > doc[row[first]])
