@@ -56,6 +56,12 @@ def release() -> None:
         pass
 
 
+def row_key():
+    """A hash of doc_id and text, for filters that judge a row by its text alone: it also tells rows
+    apart whose doc_id is null or shared; rows that agree in both are judged alike."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
 def discard(df: DataFrame) -> None:
     """Removes a table that ``materialize`` wrote and no later step reads."""
     path = getattr(df, "_weftwork_path", None)

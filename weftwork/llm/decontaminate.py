@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sequence, buffers, is_word_table, lower_table, small, word_bounds
+from .common import Sequence, buffers, is_word_table, lower_table, row_key, small, word_bounds
 from .repeats import spans, word_hashes
 
 WINDOW = 13
@@ -224,9 +224,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated."""
-    bad = contamination(docs, benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == bad._bad, "left_anti")
+    """The rows of ``docs`` that are not contaminated, each judged by its own text whether its doc_id
+    is null, shared or neither."""
+    bad = contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row_key() == bad._bad, "left_anti")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: float = 0.8, window: int = WINDOW) -> DataFrame:

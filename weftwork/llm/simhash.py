@@ -263,6 +263,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the least of their class of similar documents."""
-    kept = similar_documents(docs, k, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs.doc_id == kept._kept, "left_semi")
+    """The rows of ``docs`` that are the least of their class of similar documents. Rows with a null
+    doc_id belong to no class and stay."""
+    gone = similar_documents(docs, k, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, release, small, word_bounds
+from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, release, row_key, small, word_bounds
 from .repeats import word_hashes
 
 BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 2
@@ -212,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold."""
-    bad = score(docs, fit(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs.doc_id == bad._bad, "left_anti")
+    """The rows of ``docs`` that score below the threshold, each judged by its own text whether its
+    doc_id is null, shared or neither."""
+    bad = score(docs.select(row_key().alias("doc_id"), "text"), fit(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, row_key() == bad._bad, "left_anti")
