@@ -31,3 +31,11 @@ def test_rows_without_or_with_a_shared_id(spark, monkeypatch):
 def test_near_duplicates_keep_rows_without_an_id(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, "x"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "None", "None"]
+
+
+def test_proximity_without_the_rarest_word(spark):
+    phrase = [f"p{i}" for i in range(13)]
+    texts = [" ".join(phrase[2:]), " ".join(phrase[1:])] + [" ".join(phrase[3:])] * 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = decontaminate.proximity(docs, spark.createDataFrame([(1, " ".join(phrase))], "item_id long, text string"))
+    assert sorted((r.doc_id, r.words) for r in found.collect()) == [(0, 11), (1, 12)]

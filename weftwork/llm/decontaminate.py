@@ -1,14 +1,13 @@
-"""Benchmark decontamination with a positional inverted index over the documents.
+"""Benchmark decontamination by the positions of the phrases' rarest words in the documents.
 
 A benchmark's windows of WINDOW consecutive words are the test phrases. First the corpus frequency
 of every benchmark word is counted. Each phrase is then looked up by its rarest words: documents
-are indexed, shard by shard, by postings (word, document, position) of those words that are the
-rarest of some phrase. The rarest word's postings, shifted by its offset in the phrase, are
-intersected with those of the next rarest words; what is left is compared word by word. Phrases of
+are scanned, batch by batch, for those words that are the rarest of some phrase. No posting list is
+stored or intersected: at each such place, shifted by the word's offset in the phrase, the next
+rarest words are looked up in the text itself, and what is left is compared word by word. Phrases of
 few words may be found in one another's neighbourhood too (``proximity``).
 
-The postings of a document stay where the document is: a shard is a part of the corpus, and no
-list is shuffled. Of the benchmark, blocks of bounded size go to all executors, one after another.
+A batch is searched where it is, and nothing of it is shuffled. Of the benchmark, blocks of bounded size go to all executors, one after another.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from .repeats import spans, word_hashes
 WINDOW = 13
 #: Bytes of benchmark texts that go to the executors at a time; more go in further blocks.
 BLOCK_BYTES = 16 << 20
-#: Rarest words of a phrase whose postings are intersected before whole phrases are compared.
+#: Rarest words of a phrase that are looked up before whole phrases are compared.
 RAREST = 3
 
 
@@ -52,6 +51,7 @@ class Phrases:
     by_pivot: np.ndarray | None = None  # phrases ordered by their rarest word
     pivot: np.ndarray | None = None  # that word, in this order
     rare: np.ndarray | None = None  # offsets of the RAREST words, rarest first, by phrase
+    frequency: np.ndarray | None = None  # of each word of the vocabulary in the corpus
 
     @staticmethod
     def of(items: list[tuple[int, str | None]], window: int) -> Phrases:
@@ -76,7 +76,7 @@ class Phrases:
             rare[p] = own[np.minimum(np.arange(RAREST), n - 1)]
         pivot = self.words[self.begin + rare[:, 0]] if len(rare) else np.zeros(0, np.int64)
         self.by_pivot = np.argsort(pivot, kind="stable")
-        self.pivot, self.rare = pivot[self.by_pivot], rare
+        self.pivot, self.rare, self.frequency = pivot[self.by_pivot], rare, frequency
 
     def search(self, text: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrase, first position) of all occurrences in texts given as word indices (-1: of no
@@ -231,9 +231,9 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: float = 0.8, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, position, words): places where, within ``within`` words from a phrase's
-    rarest word, at least ``share`` of its distinct words occur, in any order; the best count of
-    each document and item."""
+    """(doc_id, item_id, position, words): places where, within ``within`` words from one of a
+    phrase's rarest words, at least ``share`` of its distinct words occur, in any order; the best
+    count of each document and item. One more word is tried than may be missing, so one is there."""
     out = []
     for phrases in blocks(benchmark, window):
         phrases.order(frequencies(docs, phrases))
@@ -246,9 +246,11 @@ def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: fl
                 text = own.lookup(hashes)
                 best: dict[tuple[int, int], tuple[int, int]] = {}
                 pivots = {}
-                for p in own.by_pivot.tolist():
-                    pivots.setdefault(int(own.words[own.begin[p] + own.rare[p, 0]]), []).append(p)
-                sets = {p: set(own.words[own.begin[p] : own.begin[p] + own.size[p]].tolist()) for ps in pivots.values() for p in ps}
+                sets = {p: set(own.words[own.begin[p] : own.begin[p] + own.size[p]].tolist()) for p in own.by_pivot.tolist()}
+                for p, members in sets.items():
+                    missing = sum(n >= share * len(members) for n in range(len(members)))  # numbers of words below all that do
+                    for w in sorted(members, key=lambda w: (own.frequency[w], w))[: missing + 1]:
+                        pivots.setdefault(w, []).append(p)
                 for at in np.flatnonzero(np.isin(text, list(pivots))).tolist():
                     r = int(np.searchsorted(rows, at, "right")) - 1
                     near = set(text[max(int(rows[r]), at - within) : min(int(rows[r + 1]), at + within + 1)].tolist())
