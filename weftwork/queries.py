@@ -412,7 +412,7 @@ def regional(spark, sf) -> DataFrame:
 
 @query()
 def simulate_threads(spark, sf):
-    return simulation.parallelism(regional(spark, sf), "key", 4)
+    return simulation.parallelism(regional(spark, sf), "key")
 
 
 @query()
