@@ -231,6 +231,13 @@ def transitive_closure(spark, sf):
     return graph.closure(roots, edges(spark, sf))
 
 
+@query("""WITH RECURSIVE {0}, c AS (SELECT "index" AS root, "index", 0 AS hops FROM nodes UNION SELECT root, dst, hops + 1 FROM c JOIN edges ON src = c."index")
+SELECT root, "index", CAST(min(hops) AS INTEGER) AS hops FROM c WHERE hops > 0 GROUP BY 1, 2""".format(",".join((o.NODES, o.EDGES))))
+def transitive_closure_all(spark, sf):
+    """The closure of every node; ``transitive_closure`` has the roots that its SQL has."""
+    return graph.closure(nodes(spark, sf), edges(spark, sf))
+
+
 @query("""SELECT kind, count(*) AS n FROM nodes n WHERE "index" IN (
 SELECT "index" FROM nodes WHERE kind = 'order' AND "index" % 1099511627776 % 50 = 0 UNION SELECT dst FROM edges WHERE src % 1099511627776 % 50 = 0 AND src >= 5497558138880
 UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src % 1099511627776 % 50 = 0 AND a.src >= 5497558138880
