@@ -248,6 +248,15 @@ def live_files(spark, sf):
     return n.join(graph.live(roots, edges(spark, sf)), "index", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query("""SELECT kind, count(*) AS n FROM nodes WHERE "index" IN (WITH RECURSIVE l AS (
+SELECT "index" FROM nodes WHERE kind = 'order' AND "index" NOT IN (SELECT dst FROM edges) UNION SELECT dst FROM l JOIN edges ON src = l."index") SELECT "index" FROM l) GROUP BY kind""", o.NODES, o.EDGES)
+def live_files_all(spark, sf):
+    """What all orders that nothing depends on keep alive; ``live_files`` has the roots that its SQL has."""
+    n, e = nodes(spark, sf), edges(spark, sf)
+    roots = n.where("kind = 'order'").join(e.select(F.col("dst").alias("index")), "index", "left_anti")
+    return n.join(graph.live(roots, e), "index", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
+
+
 @query("""SELECT src, CAST(dense_rank() OVER (PARTITION BY src ORDER BY g) - 1 AS INTEGER) AS group_no, dst FROM (SELECT l_orderkey AS src, l_partkey AS dst, min(l_linenumber % 3) AS g FROM lineitem GROUP BY 1, 2)""")
 def flatten_depends(spark, sf):
     c = F.col
