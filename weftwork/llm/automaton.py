@@ -12,11 +12,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import Plan, repeated
+from .runlength import removed_runs
 
 WINDOW, ANCHOR = 20, 8
 #: Words of pieces that one automaton takes; one anchor's pieces stay together.
@@ -117,22 +117,24 @@ def match(flat: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray
 REPORT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, spans array<bigint>"
 
 
-def _report(doc, raw, at, rows, mask, bounds) -> pd.DataFrame:
-    begin, end = bounds
-    out = []
-    for i, d in enumerate(doc.tolist()):
-        s, e = int(rows[i]), int(rows[i + 1])
-        own = mask[s:e]
-        view = raw[at[i] : at[i + 1]].tobytes()
-        words = view.split()
-        runs = np.zeros(0, np.int64)
-        n = int(own.sum())
-        if n:
-            step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-            runs = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).reshape(-1)
-            words = [w for w, gone in zip(words, own.tolist()) if not gone]
-        out.append((d, e - s, n, hashlib.sha256(b" ".join(words)).hexdigest(), runs))
-    return pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "spans"])
+def _cut(raw, at, rows, mask, i: int) -> bytes:
+    """The words of a text that are not marked, joined by one space."""
+    words = raw[at[i] : at[i + 1]].tobytes().split()
+    own = mask[rows[i] : rows[i + 1]]
+    if own.any():
+        words = [w for w, gone in zip(words, own.tolist()) if not gone]
+    return b" ".join(words)
+
+
+def _report(doc, raw, at, rows, mask) -> dict:
+    n_removed = np.diff(np.append(0, np.cumsum(mask))[rows])
+    spans = [removed_runs(mask[s:e]) if n else np.zeros(0, np.int64) for s, e, n in zip(rows[:-1].tolist(), rows[1:].tolist(), n_removed.tolist())]
+    digests = [hashlib.sha256(_cut(raw, at, rows, mask, i)).hexdigest() for i in range(len(doc))]
+    return {"doc_id": doc, "n_words": np.diff(rows), "n_removed": n_removed, "kept_sha256": digests, "spans": spans}
+
+
+def _search(docs: DataFrame, window: int, anchor: int, report, schema: str, keep: bool) -> DataFrame:
+    return repeated(docs, words=True, window=window, anchor=anchor, within=True, matcher=match, report=report, schema=schema, keep=keep)
 
 
 def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -141,29 +143,26 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
 
     A word goes if a window of ``window`` consecutive words that covers it also starts earlier: in
     a document with a lesser doc_id, or before in the same one; windows are judged on the input.
-    Words are maximal runs of bytes other than ASCII white space, unchanged. A null or wordless
-    text has no words. Rows that share a doc_id count as parts of one document, ordered by text;
-    a repeat of a whole row as a later part. Rows with a null doc_id are left out; extra columns
-    are ignored; no rows give no rows.
+    Words are maximal runs of bytes other than ASCII white space, unchanged; they are told apart by
+    XXH64. A null or wordless text has no words. Rows that share a doc_id count as parts of one
+    document, ordered by text; a repeat of a whole row as a later part. Rows with a null doc_id are
+    left out; extra columns are ignored, whatever their names; no rows give no rows.
     """
-    return repeated(docs, words=True, window=window, anchor=anchor, within=True, matcher=match, report=_report, schema=REPORT)
+    return _search(docs, window, anchor, _report, REPORT, False)
 
 
-def remove_passages(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_passages(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text``, its words then joined by one space
-    where something was cut; other columns stay. Documents of which no word stays go."""
-    found = repeated_passages(docs, window).select(F.col("doc_id").alias("_id"), "spans", "n_removed", "n_words").dropDuplicates(["_id"])
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        def one(t, r):
-            if t is None or r is None or not len(r):
-                return t
-            words = t.encode().split()
-            at = [0, *r, len(words)]
-            return b" ".join(w for i in range(0, len(at), 2) for w in words[at[i] : at[i + 1]]).decode()
-
-        return pd.Series([one(t, r) for t, r in zip(text, runs)], dtype=object)
-
-    joined = docs.join(found, docs.doc_id == found._id, "left").where("n_removed is null or n_removed < n_words or n_words = 0")
-    return joined.withColumn("text", F.when(F.col("n_removed") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
+    where something was cut; other columns stay, whatever their names. Documents of which no word
+    stays go, wordless ones and rows with a null doc_id stay."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others) or "none: int"
+
+    def cut(doc, raw, at, rows, mask) -> dict:
+        n = np.diff(np.append(0, np.cumsum(mask))[rows])
+        return {"doc_id": doc, "now": [_cut(raw, at, rows, mask, i).decode() if k else None for i, k in enumerate(n.tolist())], "left": np.diff(rows) - n, "rest": None}
+
+    found = _search(docs, window, anchor, cut, f"doc_id bigint, was string, now string, left bigint, rest struct<{kept}>", True)
+    text = lambda f: F.coalesce("now", "was") if f.name == "text" else F.col("doc_id") if f.name == "doc_id" else F.col("rest").getField(f.name)
+    found = found.where("now is null or left > 0").select(*(text(f).cast(f.dataType).alias(f.name) for f in docs.schema.fields))
+    return found.unionByName(docs.where("doc_id is null"))

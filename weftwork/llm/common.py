@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "weftwork-checkpoints")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -56,10 +58,10 @@ def release() -> None:
         pass
 
 
-def row_key():
-    """A hash of doc_id and text, for filters that judge a row by its text alone: it also tells rows
-    apart whose doc_id is null or shared; rows that agree in both are judged alike."""
-    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+def row_key() -> list:
+    """(doc_id, hash of the text): tells rows apart whose doc_id is null or shared, for filters that
+    judge a row by its text alone; rows that agree in both are judged alike."""
+    return [F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))]
 
 
 def discard(df: DataFrame) -> None:
@@ -176,6 +178,39 @@ def word_bounds(is_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return start, end, np.searchsorted(start, offsets)
 
 
+def runs_of(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The positions of all runs [start, start + length), one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
+
+
+def binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """An Arrow column of byte strings that lie one after another in ``data``; sizes are in bytes."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
+    wide = at[-1] >= 1 << 31
+    buffers_ = [None, pa.py_buffer(at.astype(np.int64 if wide else np.int32)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(sizes), buffers_)
+
+
+def distinct_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(number of each word, first place of each number, bytes of each number): words are told apart
+    by their bytes; numbers count up in the order of first places. Words do not overlap."""
+    size = end - start
+    coded = binary(raw[runs_of(start, size)], size).dictionary_encode()
+    index = coded.indices.to_numpy(zero_copy_only=False)
+    seen = np.maximum.accumulate(index) if len(index) else index
+    first = np.flatnonzero(np.append(True, seen[1:] > seen[:-1])) if len(index) else np.zeros(0, np.int64)
+    return index, first, coded.dictionary
+
+
+def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """XXH64 of each word, computed once for each distinct word of the batch."""
+    from xxhash import xxh64_intdigest as digest
+
+    index, _, words = distinct_words(raw, start, end)
+    return np.fromiter(map(digest, words.to_pylist()), np.uint64, len(words))[index]
+
+
 def is_word_table(pattern: str) -> np.ndarray:
     """A table of 256: which bytes are of a word. 'space' splits at ASCII white space,
     'alnum' keeps digits, letters and all bytes from 0x80."""

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sequence, buffers, is_word_table, lower_table, row_key, small, word_bounds
-from .repeats import spans, word_hashes
+from .common import Sequence, buffers, is_word_table, lower_table, small, word_bounds, word_hashes
+from .repeats import spans
 
 WINDOW = 13
 #: Bytes of benchmark texts that go to the executors at a time; more go in further blocks.
@@ -227,7 +227,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     """The rows of ``docs`` that are not contaminated, each judged by its own text whether its doc_id
     is null, shared or neither."""
     bad = contamination(docs.select(row_key().alias("doc_id"), "text"), benchmark, window, share).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, row_key() == bad._bad, "left_anti")
+    return docs.join(bad() == bad._bad, "left_anti")
 
 
 def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: float = 0.8, window: int = WINDOW) -> DataFrame:

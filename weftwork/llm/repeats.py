@@ -2,49 +2,58 @@
 
 Symbols are bytes or words. Every window holds a sampled anchor: the run of K symbols with the
 least hash in it. Consecutive windows that share an anchor form a unit; a unit's text is its
-context. Equal windows have equal anchors, so it is enough to compare units of one anchor hash:
-
-1. ``_scan`` cuts texts into units. Within a batch, a context that an earlier document has too
-   is settled at once; one record of each context and batch goes on, packed by anchor hash.
-2. ``_settle`` has all contexts of a range of anchor hashes: units whose context an earlier
-   document has are marked whole. Where contexts of an anchor differ, first occurrences are asked
-   for their symbols.
-3. ``_fetch`` reads these pieces from the texts, and sends them on by anchor hash.
-4. A matcher (a run-length BWT index, or suffix automata) marks the windows that occur earlier.
+context. Equal windows have equal anchors, so it is enough to compare units of one anchor:
+
+1. ``_scan`` cuts texts into units, one plain row each. Of units with equal contexts in a batch only
+   the first goes on; those of later documents are marked at once.
+2. ``_settle`` puts the rows of an anchor together with window functions: units whose context an
+   earlier document has are marked whole. Where contexts of an anchor differ, the first of each
+   context is asked for its symbols.
+3. ``_pieces`` reads these symbols from the texts.
+4. ``_match`` streams the pieces, sorted by anchor, through a matcher (a run-length BWT index, or
+   suffix automata), which marks the windows that occur earlier.
 5. ``_finish`` puts the marks of each document together.
 
-Records, pieces and marks move as packed arrays, some kB each, keyed by hash ranges or by blocks of
-documents, whose number follows the input. A passage that very many documents share sends one
-record per batch, not one per document. Nothing is sampled, capped or gathered on the driver.
-Hashes have 64 bits of an anchor and 48 of its context.
+All rows between the steps are plain columns that Spark shuffles, sorts and spills. A passage that
+very many documents share sends one row per batch, not one per document. An anchor that a sample
+finds to be frequent is dealt by (anchor, context), so its rows spread over tasks; its pieces, as
+those of every anchor with more than HOT different contexts, are split STEP windows at a time and
+dealt by the symbols these windows share. The sample only chooses how rows are dealt: results are
+the same without it. Nothing is capped or gathered on the driver. Anchors and contexts are told
+apart by hashes of 64 bits each (runs of at most 2 W symbols); pieces by their symbols.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-if TYPE_CHECKING:
-    import pandas as pd  # scanning workers do without
-
-from .common import BYTE_VALUE, Sequence, buffers, is_word_table, materialize, mix, parts, release, small, text_bytes, tune, word_bounds
+from .common import BYTE_VALUE, Sequence, binary, buffers, is_word_table, materialize, mix, parts, release, runs_of, small, text_bytes, tune, word_bounds, word_hashes
 
 POS_BITS = 21
 SLICE_SYMBOLS = 1 << 18
-#: Text bytes that one range of anchor hashes or one block of documents stands for.
-RANGE_BYTES, BLOCK_BYTES = 6 << 20, 6 << 20
+#: Text bytes that one partition of units stands for, and the most partitions.
+PART_BYTES, MOST_PARTS = 64 << 20, 32768
 #: An anchor with more different contexts than HOT has its pieces split: STEP windows at a time, keyed
 #: by the symbols that these windows have in common.
 HOT, STEP = 256, 4
+#: Text bytes of the sample that frequent anchors are looked for in, and how often they are in it.
+SAMPLE_BYTES, FREQUENT = 32 << 20, 16
+#: Bytes of pieces that a matcher is given at a time; one anchor's pieces stay together.
+MATCH_BYTES = 4 << 20
 #: Rows with the same doc_id are told apart by this bit onwards of a position.
 ROW_BIT = 40
+UNIT, MARK, FREQUENT_UNIT = 0, 1, 2
+UNITS = "g bigint, ctx bigint, kind int, doc bigint, start bigint, n int, more array<bigint>"
+PIECES = "key bigint, kind int, doc bigint, start bigint, n int, more array<bigint>, symbols binary"
+MARKS = "doc bigint, start bigint, n int"
 
 
 @dataclass(frozen=True)
@@ -56,74 +65,16 @@ class Plan:
     window: int
     anchor: int
     within: bool
-    ranges: int
-    blocks: int
-
-
-# -- packing ---------------------------------------------------------------------------------
-
-def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 1, 4 or 8 bytes as compressed byte planes: the JVM and shuffles see only these."""
-    head = np.array([len(columns), len(columns[0]) if columns else 0, *(c.dtype.itemsize for c in columns)], np.int64)
-    planes = [np.ascontiguousarray(c.view(np.uint8).reshape(-1, c.dtype.itemsize).T) for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head.tobytes(), *planes]))
-
-
-def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
-    blob = zstandard.ZstdDecompressor().decompress(blob)
-    m, n = np.frombuffer(blob, np.int64, 2)
-    sizes, at, out = np.frombuffer(blob, np.int64, m, 16), 16 + 8 * int(m), []
-    for size, kind in zip(sizes.tolist(), kinds.split()):
-        planes = np.frombuffer(blob, np.uint8, size * int(n), at).reshape(size, int(n))
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(kind))
-        at += size * int(n)
-    return out
-
-
-def _joined(blobs: list[bytes], kinds: str) -> list[np.ndarray]:
-    every = [unpack(b, kinds) for b in blobs]
-    return [np.concatenate(x) for x in zip(*every)] if every else [np.zeros(0, k) for k in kinds.split()]
-
-
-def by_range(keys: np.ndarray, n: int) -> np.ndarray:
-    """The range of 0..n-1 that a 64-bit hash falls in; rises with the hash."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
-def block_of(doc: np.ndarray, n: int) -> np.ndarray:
-    return by_range(mix(doc.astype(np.int64).view(np.uint64) + np.uint64(1)), n)
-
-
-def _split(group: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    order = np.argsort(group, kind="stable")
-    group = group[order]
-    columns = [c[order] for c in columns]
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
-        if e > s:
-            yield int(group[s]), [c[s:e] for c in columns]
 
 
 # -- units -----------------------------------------------------------------------------------
 
-def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, from pieces of about 1 MB."""
-    out, i = np.empty(len(start), np.uint64), 0
-    while i < len(start):
-        j = max(i + 1, int(np.searchsorted(end, start[i] + (1 << 20), "right")))
-        base = int(start[i])
-        out[i:j] = Sequence(BYTE_VALUE[raw[base : int(end[j - 1])]]).runs(start[i:j] - base, end[i:j] - base)
-        i = j
-    return out
-
-
-def symbols_of(raw: np.ndarray, at: np.ndarray, words: bool) -> tuple[Callable[[int, int], np.ndarray], np.ndarray]:
-    """(symbols between two positions, offset of each row in symbols)."""
+def symbols_of(raw: np.ndarray, at: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols: bytes, or hashes of words; offset of each row in symbols)."""
     if not words:
-        return (lambda s, e: BYTE_VALUE[raw[s:e]]), at
+        return raw, at
     start, end, rows = word_bounds(is_word_table("space")[raw], at)
-    every = word_hashes(raw, start, end)
-    return (lambda s, e: every[s:e]), rows
+    return word_hashes(raw, start, end), rows
 
 
 def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
@@ -136,7 +87,7 @@ def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
     return m
 
 
-def units(get: Callable[[int, int], np.ndarray], rows: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+def units(symbols: np.ndarray, rows: np.ndarray, window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(hash, context, row, start in the row, windows) of every unit, slice by slice. A long row
     is cut into slices that overlap, so each window is in exactly one of them."""
     i, last = 0, len(rows) - 1
@@ -148,7 +99,7 @@ def units(get: Callable[[int, int], np.ndarray], rows: np.ndarray, window: int,
             e = min(row_end, s + SLICE_SYMBOLS + window - 1) if j == i + 1 else row_end
             n = e - s
             if n >= window:
-                seq = Sequence(get(s, e))
+                seq = Sequence(BYTE_VALUE[symbols[s:e]] if symbols.dtype == np.uint8 else symbols[s:e])
                 grams = seq.fixed(anchor)
                 keys = (grams & ~mask) | np.arange(len(grams), dtype=np.uint64)
                 least = (sliding_min(keys, window - anchor + 1) & mask).astype(np.int64)
@@ -165,168 +116,154 @@ def units(get: Callable[[int, int], np.ndarray], rows: np.ndarray, window: int,
                     final = np.append(first[1:], len(at)) - 1
                     begin, stop = at[first], at[final] + window
                     row = np.searchsorted(rows, begin + s, "right") - 1
-                    yield grams[where[first]], seq.runs(begin, stop) >> np.uint64(16), row, begin + s - rows[row], (final - first + 1).astype(np.uint8)
+                    yield grams[where[first]], seq.runs(begin, stop), row, begin + s - rows[row], (final - first + 1).astype(np.int32)
             if e >= row_end:
                 break
             s = e - window + 1
         i = j
 
 
-def _scan(plan: Plan) -> Callable:
-    """Batches of (doc_id, sub, text) to rows (range, kind, blob): kind 0 holds units, kind 1 marks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches, 2):
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sub = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << ROW_BIT
-            get, rows = symbols_of(*buffers(batch.column(2)), plan.words)
-            found = [np.concatenate(x) for x in zip(*units(get, rows, plan.window, plan.anchor))]
-            if not found:
-                continue
-            h, ctx, row, start, n = found
-            rank = np.empty(len(doc), np.int64)
-            rank[np.lexsort((sub, doc))] = np.arange(len(doc))
-            if (np.diff(rank) < 0).any():
-                order = np.argsort(rank[row], kind="stable")
-                h, ctx, row, start, n = (x[order] for x in (h, ctx, row, start, n))
-            order = np.lexsort((ctx, h))  # stable
-            sorted_h, sorted_ctx = h[order], ctx[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_ctx[1:] != sorted_ctx[:-1])
-            first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-            late = np.zeros(len(order), bool)
-            late[order] = (order != first) if plan.within else (doc[row[order]] > doc[row[first]])
-            rid, kinds, blobs = [], [], []
-            keep = np.flatnonzero(~late)
-            keep = keep[np.argsort(h[keep])]
-            start = start + sub[row]
-            for g, (a, b, c, d, e) in _split(by_range(h[keep], plan.ranges), h[keep], ctx[keep], doc[row[keep]], start[keep], n[keep]):
-                rid.append(g), kinds.append(0), blobs.append(pack(a, b, c, d, e))
-            gone = np.flatnonzero(late)
-            for g, (c, d, e) in _split(by_range(mix(doc[row[gone]].view(np.uint64)), plan.ranges), doc[row[gone]], start[gone], n[gone]):
-                rid.append(g), kinds.append(1), blobs.append(pack(c, d, e))
-            yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], ["range", "kind", "blob"])
-            del h, ctx, row, start, n, found, blobs
-            release()
-
-    return run
-
+def _leads(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray, within: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lead, late, twin): the first of the entries with the same keys, by document and start, for
+    each entry; entries that lie after it (``within``) or in a later document; other entries of the
+    lead's own document (none if ``within``)."""
+    order = np.lexsort((start, doc, *keys))
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for key in keys:
+        sorted_key = key[order]
+        new[1:] |= sorted_key[1:] != sorted_key[:-1]
+    lead = np.empty(len(order), np.int64)
+    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    other = lead != np.arange(len(order))
+    late = other if within else doc > doc[lead]
+    return lead, late, other & ~late
 
-def _settle(plan: Plan) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """All records of a range to rows (block, kind, blob): kind 1 holds marks (doc, start, n), kind 2
-    asks for pieces (doc, start, n, hash), kind 3 too, of hot anchors."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        h, ctx, doc, start, n = _joined(list(rows.blob[rows.kind == 0]), "u8 u8 i8 i8 u1")
-        order = np.lexsort((start, doc, ctx, h))
-        h, ctx, doc, start, n = (x[order] for x in (h, ctx, doc, start, n))
-        out = []
-        if len(h):
-            new_h = np.append(True, h[1:] != h[:-1])
-            new = new_h | np.append(True, ctx[1:] != ctx[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            gone = (np.arange(len(h)) != lead) if plan.within else (doc > doc[lead])
-            group = np.cumsum(new_h) - 1
-            contexts = np.bincount(group, new)
-            several = contexts > 1
-            if not plan.within:
-                at = np.flatnonzero(new_h)
-                several &= np.minimum.reduceat(doc, at) < np.maximum.reduceat(doc, at)
-            for kind, wanted in ((2, several & (contexts <= HOT)), (3, several & (contexts > HOT))):
-                ask = ~gone & wanted[group]
-                for g, c in _split(block_of(doc[ask], plan.blocks), doc[ask], start[ask], n[ask], h[ask]):
-                    out.append((g, kind, pack(*c)))
-            marks = [(doc[gone], start[gone], n[gone])]
-        else:
-            marks = []
-        if (rows.kind == 1).any():
-            marks.append(tuple(_joined(list(rows.blob[rows.kind == 1]), "i8 i8 u1")))
-        if marks:
-            doc, start, n = (np.concatenate(x) for x in zip(*marks))
-            for g, c in _split(block_of(doc, plan.blocks), doc, start, n):
-                out.append((g, 1, pack(*c)))
-        release()
-        return pd.DataFrame(out, columns=["block", "kind", "blob"])
 
-    return run
+def _more(lead: np.ndarray, twin: np.ndarray, keep: np.ndarray, start: np.ndarray) -> pa.Array:
+    """For each kept entry the starts of its twins; null where there are none."""
+    own = np.flatnonzero(twin)
+    own = own[np.argsort(lead[own], kind="stable")]
+    count = np.bincount(lead[own], minlength=len(lead))[keep]
+    at = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(start[own], pa.int64()), mask=pa.array(count == 0))
 
 
-# -- texts by block --------------------------------------------------------------------------
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
-def _texts(plan: Plan) -> Callable:
-    """Batches of (doc_id, sub, text) to rows (block, blob): compressed texts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            sub = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-            raw, at = buffers(batch.column(2))
-            view, blocks, blobs = memoryview(raw), [], []
-            for g, (row,) in _split(block_of(doc, plan.blocks), np.arange(len(doc))):
-                head = pack(doc[row], sub[row], (at[1:] - at[:-1])[row])
-                body = b"".join([view[s:e] for s, e in zip(at[row].tolist(), at[row + 1].tolist())])
-                blocks.append(g), blobs.append(np.int64(len(head)).tobytes() + head + squeeze.compress(body))
-            yield pa.record_batch([pa.array(blocks, pa.int64()), pa.array(blobs, pa.binary())], ["block", "blob"])
-        release()
+def _cut(batch: pa.RecordBatch, rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    for s in range(0, batch.num_rows, rows):
+        yield batch.slice(s, rows)
 
-    return run
 
+def _runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Marks with those that follow one another joined."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order].astype(np.int64)
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], start[first], np.add.reduceat(n, first) if len(first) else n
 
-def _open(blobs: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(doc, sub, bytes, offsets) of each blob of texts."""
-    for blob in blobs:
-        n = int(np.frombuffer(blob, np.int64, 1)[0])
-        doc, sub, size = unpack(blob[8 : 8 + n], "i8 i8 i8")
-        body = zstandard.ZstdDecompressor().decompress(blob[8 + n :], max_output_size=max(1, int(size.sum())))
-        yield doc, sub, np.frombuffer(body, np.uint8), np.concatenate([[0], np.cumsum(size)])
 
+def _scan(plan: Plan, frequent: np.ndarray) -> Callable:
+    """Batches of (doc_id, sub, text) to rows of UNITS. The rows of a frequent anchor have g mixed
+    with their context; those of a mark have the document's hash there."""
 
-def _lookup(doc: np.ndarray, sub: np.ndarray, want_doc: np.ndarray, want_start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the wanted, their row) for documents that this blob holds; sub tells repeats apart."""
-    order = np.lexsort((sub, doc))
-    want_sub = want_start >> ROW_BIT
-    first = np.searchsorted(doc[order], want_doc, "left")
-    row = np.minimum(first, len(doc) - 1)
-    if len(np.unique(doc)) < len(doc):  # a few rows share a doc_id
-        place = {(d, s): i for i, (d, s) in enumerate(zip(doc.tolist(), sub.tolist()))}
-        row = np.array([place.get((d, s), -1) for d, s in zip(want_doc.tolist(), want_sub.tolist())], np.int64)
-        which = np.flatnonzero(row >= 0)
-        return which, row[which]
-    row = order[row]
-    which = np.flatnonzero((doc[row] == want_doc) & (sub[row] == want_sub))
-    return which, row[which]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2):
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sub = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64) << ROW_BIT
+            symbols, rows = symbols_of(*buffers(batch.column(2)), plan.words)
+            found = [np.concatenate(x) for x in zip(*units(symbols, rows, plan.window, plan.anchor))]
+            if not found:
+                continue
+            h, ctx, row, start, n = found
+            doc, start = ids[row], start + sub[row]
+            lead, late, twin = _leads((ctx, h), doc, start, plan.within)
+            keep, gone = np.flatnonzero(~late & ~twin), np.flatnonzero(late)
+            at = np.minimum(np.searchsorted(frequent, h[keep]), max(0, len(frequent) - 1))
+            often = frequent[at] == h[keep] if len(frequent) else np.zeros(len(keep), bool)
+            g = np.where(often, mix(h[keep] ^ ctx[keep]), h[keep])
+            kind = np.where(often, FREQUENT_UNIT, UNIT).astype(np.int32)
+            yield from _cut(pa.record_batch([_signed(g), _signed(ctx[keep]), pa.array(kind), pa.array(doc[keep]), pa.array(start[keep]), pa.array(n[keep]), _more(lead, twin, keep, start)], names=NAMES))
+            d, s, m = _runs(doc[gone], start[gone], n[gone])
+            nothing = pa.nulls(len(d), pa.list_(pa.int64()))
+            yield from _cut(pa.record_batch([_signed(mix(d.view(np.uint64))), pa.array(s), pa.array(np.full(len(d), MARK, np.int32)), pa.array(d), pa.array(s), pa.array(m.astype(np.int32)), nothing], names=NAMES))
+            del h, ctx, row, start, n, found, lead, late, twin
+            release()
 
+    return run
 
-def spans(flat: np.ndarray, length: np.ndarray, total: int) -> np.ndarray:
-    """A mask of ``total`` symbols: those in any run [flat, flat + length)."""
-    edge = np.zeros(total + 1, np.int32)
-    np.add.at(edge, flat, 1)
-    np.add.at(edge, flat + length, -1)
-    return np.cumsum(edge[:-1]) > 0
 
+NAMES = [c.split()[0] for c in UNITS.split(", ")]
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions of all runs, one after another."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
+def _frequent(rows: DataFrame, plan: Plan, total: int) -> np.ndarray:
+    """Sorted hashes of the anchors that a sample of about SAMPLE_BYTES has FREQUENT times or more:
+    a bounded hint of how to deal rows."""
+    every = max(1, total // SAMPLE_BYTES)
 
-def _parts(plan: Plan, symbols: np.ndarray, flat: np.ndarray, n: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Splits pieces of hot anchors: (piece, first window, windows, key, content). A window's place
-    around its anchor follows from its symbols, so equal windows have it alike. STEP neighbouring
-    places share all but STEP - 1 of a window's symbols; these, and the place, are the key. How many
-    different contents a key has is then up to the language, not to the number of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2):
+            symbols, at = symbols_of(*buffers(batch.column(2)), plan.words)
+            for h, ctx, *_ in units(symbols, at, plan.window, plan.anchor):
+                pair = np.unique(np.stack([h, ctx], 1), axis=0)[:, 0]
+                anchors, n = np.unique(pair, return_counts=True)
+                yield pa.record_batch([_signed(anchors), pa.array(n)], ["h", "n"])
+
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
+    often = sample.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+
+def _settle(units_: DataFrame, plan: Plan, partitions: int) -> DataFrame:
+    """The marks, and the units whose symbols are asked for: UNITS without ctx; ``kind`` 2 if the
+    piece is to be split. A mark of a unit covers its twins too."""
+    dealt = units_.repartition(partitions, "g")
+    same = Window.partitionBy("g", "kind", "ctx").orderBy("doc", "start")
+    anchor = Window.partitionBy("g", "kind")
+    rank, first = F.row_number().over(same), F.first("doc").over(same)
+    ranked = dealt.withColumn("rank", rank).withColumn("first", first)
+    counted = ranked.select("*", F.count(F.when(F.col("rank") == 1, 1)).over(anchor).alias("contexts"), F.min("doc").over(anchor).alias("low"), F.max("doc").over(anchor).alias("high"))
+    gone = (F.col("kind") == MARK) | ((F.col("rank") > 1) if plan.within else (F.col("doc") > F.col("first")))
+    several = (F.col("contexts") > 1) & (F.lit(True) if plan.within else F.col("low") < F.col("high"))
+    kind = F.when(gone, MARK).when(F.col("kind") == FREQUENT_UNIT, FREQUENT_UNIT).when(several & (F.col("contexts") > HOT), FREQUENT_UNIT).when(several, UNIT)
+    return counted.select("g", kind.alias("kind"), "doc", "start", "n", "more").where("kind is not null")
+
+
+# -- pieces ----------------------------------------------------------------------------------
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(length of each list, all their values); null is empty."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return size, column.flatten()
+
+
+def _long(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _split(plan: Plan, symbols: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Splits pieces that lie one after another: (piece, first window, windows, key, content). A
+    window's place around its anchor follows from its symbols, so equal windows have it alike. STEP
+    neighbouring places share all but STEP - 1 of a window's symbols; these, and the place, are the
+    key. How many different contents a key has is then up to the language, not to the number of
+    documents."""
     size = n + plan.window - 1
     offset = np.cumsum(size) - size
-    values = Sequence(BYTE_VALUE[symbols] if not plan.words else symbols)
-    grams = values.fixed(plan.anchor)
-    owner = np.repeat(np.arange(len(n)), size)[: len(grams)]
-    at = np.flatnonzero(grams == h[owner])
-    at = at[at + plan.anchor <= (offset + size)[owner[at]]]
-    anchor = at[np.unique(owner[at], return_index=True)[1]] - offset  # the first in each piece
+    values = Sequence(symbols if plan.words else BYTE_VALUE[symbols])
+    mask = np.uint64((1 << POS_BITS) - 1)
+    grams = values.fixed(plan.anchor) & ~mask
+    anchor = np.zeros(len(n), np.int64)  # the first of the least in each piece's first window
+    least = grams[offset]
+    for i in range(1, plan.window - plan.anchor + 1):
+        better = grams[offset + i] < least
+        anchor[better], least[better] = i, grams[offset + i][better]
     piece = np.repeat(np.arange(len(n)), n)
     window = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
     place = (anchor[piece] - window) // STEP
@@ -339,126 +276,156 @@ def _parts(plan: Plan, symbols: np.ndarray, flat: np.ndarray, n: np.ndarray, h:
     return piece, window, count, mix(core + place.astype(np.uint64)), values.runs(start, start + count + plan.window - 1)
 
 
-def _fetch(plan: Plan) -> Callable:
-    """A block's texts and questions to rows (range, kind, blob, symbols): kind 2 holds pieces (hash,
-    doc, start, n) and their symbols, kind 1 marks (doc, start, n)."""
-
-    def run(texts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        out = []
-
-        def send(key, doc, start, n, symbols, flat) -> None:
-            size = n.astype(np.int64) + plan.window - 1
-            for g, (i,) in _split(by_range(key, plan.ranges), np.arange(len(key))):
-                out.append((g, 2, pack(key[i], doc[i], start[i], n[i]), symbols[_ranges(flat[i], size[i])].tobytes()))
-
-        every_asked = [(kind, _joined(list(asked.blob[asked.kind == kind]), "i8 i8 u1 u8")) for kind in (2, 3) if (asked.kind == kind).any()]
-        for have, sub, raw, at in _open(list(texts.blob)) if every_asked else ():
-            if plan.words:
-                begin, end, rows = word_bounds(is_word_table("space")[raw], at)
-                every = word_hashes(raw, begin, end)
-            else:
-                every, rows = raw, at
-            for kind, (doc, start, n, h) in every_asked:
-                which, row = _lookup(have, sub, doc, start)
-                if not len(which):
-                    continue
-                flat = rows[row] + (start[which] & ((1 << ROW_BIT) - 1))
-                d, s, m, key = doc[which], start[which], n[which], h[which]
-                if kind == 2:
-                    send(key, d, s, m, every, flat)
-                    continue
-                m = m.astype(np.int64)
-                piece, window, count, key, content = _parts(plan, every[_ranges(flat, m + plan.window - 1)], flat, m, key)
-                d, s, flat = d[piece], s[piece] + window, flat[piece] + window
+def _pieces(plan: Plan) -> Callable:
+    """Batches of (doc_id, sub, text, asked units) to rows of PIECES; kind 1 are marks."""
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def rows_of(key, kind, doc, start, n, more, symbols, flat):
+        size = n.astype(np.int64) + plan.window - 1
+        body = symbols[runs_of(flat, size)]
+        kinds = pa.array(np.full(len(n), kind, np.int32))
+        return pa.record_batch([_signed(key), kinds, pa.array(doc), pa.array(start), pa.array(n.astype(np.int32)), more, binary(body, size * body.dtype.itemsize)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2):
+            symbols, rows = symbols_of(*buffers(batch.column(2)), plan.words)
+            ids, (size, asked) = _long(batch.column(0)), _lists(batch.column(3))
+            g, kind, start, n = (_long(asked.field(i)) for i in range(4))
+            doc, row = np.repeat(ids, size), np.repeat(np.arange(len(size)), size)
+            flat = rows[row] + (start & ((1 << ROW_BIT) - 1))
+            own = np.flatnonzero(kind == UNIT)
+            if len(own):
+                yield from _cut(rows_of(g[own], UNIT, doc[own], start[own], n[own], asked.field(4).take(pa.array(own)), symbols, flat[own]))
+            own = np.flatnonzero(kind == FREQUENT_UNIT)
+            if len(own):
+                # Twins have the same symbols, so one of them stands for all until pieces are split.
+                count, twins = _lists(asked.field(4).take(pa.array(own)))
+                piece, window, n_, key, content = _split(plan, symbols[runs_of(flat[own], n[own] + plan.window - 1)], n[own])
+                every = np.concatenate([np.arange(len(piece)), np.repeat(np.arange(len(piece)), count[piece])])
+                at = np.concatenate([[0], np.cumsum(count)])[piece]
+                first = np.concatenate([start[own][piece] + window, _long(twins)[runs_of(at, count[piece])] + np.repeat(window, count[piece])])
+                d = doc[own][piece][every]
                 # Of equal contents the first here goes on; later documents' are settled.
-                order = np.lexsort((s, d, content))
-                new = np.append(True, content[order][1:] != content[order][:-1])
-                lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-                late = np.zeros(len(order), bool)
-                late[order] = ~new if plan.within else d[order] > d[lead]
-                count = count.astype(np.uint8)
-                send(key[~late], d[~late], s[~late], count[~late], every, flat[~late])
-                for g, c in _split(by_range(content[late], plan.ranges), d[late], s[late], count[late]):
-                    out.append((g, 1, pack(*c), b""))
-        release()
-        return pd.DataFrame(out, columns=["range", "kind", "blob", "symbols"])
+                lead, late, twin = _leads((content[every], key[every]), d, first, plan.within)
+                keep = np.flatnonzero(~late & ~twin)
+                place = flat[own][piece[every[keep]]] + window[every[keep]]
+                yield from _cut(rows_of(key[every[keep]], UNIT, d[keep], first[keep], n_[every[keep]], _more(lead, twin, keep, first), symbols, place))
+                d, s, m = _runs(d[late], first[late], n_[every[late]])
+                nothing = pa.nulls(len(d), pa.list_(pa.int64())), pa.nulls(len(d), pa.binary())
+                kinds = pa.array(np.full(len(d), MARK, np.int32))
+                yield from _cut(pa.record_batch([_signed(mix(d.view(np.uint64))), kinds, pa.array(d), pa.array(s), pa.array(m.astype(np.int32)), *nothing], names=names))
+            release()
 
     return run
 
 
-def _match(plan: Plan, matcher: Callable) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """All pieces of a range to rows (block, kind, blob) of marks."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
-
-        marks = [tuple(_joined(list(rows.blob[rows.kind == 1]), "i8 i8 u1"))]
-        pieces = rows[rows.kind == 2]
-        if len(pieces):
-            h, doc, start, n = _joined(list(pieces.blob), "u8 i8 i8 u1")
-            flat = np.concatenate([np.frombuffer(x, np.uint64 if plan.words else np.uint8) for x in pieces.symbols])
-            size = n.astype(np.int64) + plan.window - 1
-            offset = np.cumsum(size) - size
-            order = np.lexsort((start, doc, h))
-            group = np.cumsum(np.append(True, np.diff(h[order].view(np.int64)) != 0)) - 1
-            several = np.bincount(group)[group] > 1  # a piece alone has no equal windows
-            order, group = order[several], group[several]
-            doc, start, size, offset = doc[order], start[order], size[order], offset[order]
-            if len(order):
-                piece, shift, count = matcher(flat[_ranges(offset, size)], size, group, doc, plan)
-                marks.append((doc[piece], start[piece] + shift, count.astype(np.uint8)))
-        doc, start, n = (np.concatenate(x) for x in zip(*marks))
-        out = [(g, 1, pack(*c)) for g, c in _split(block_of(doc, plan.blocks), doc, start, n)]
+def _match(plan: Plan, matcher: Callable) -> Callable:
+    """Batches of (key, done, doc, start, n, more, symbols), sorted by key, to rows of MARKS."""
+
+    def marks(t: pa.Table) -> pa.RecordBatch | None:
+        done, doc, start, n = (_long(t.column(i)) for i in (1, 2, 3, 4))
+        count, more = _lists(t.column(5))
+        first_more = np.cumsum(count) - count
+        piece, shift, length = [np.flatnonzero(done)], [np.zeros(int(done.sum()), np.int64)], [n[done > 0]]
+        lead = np.flatnonzero(done == 0)
+        if len(lead):
+            key = _long(t.column(0))[lead]
+            group = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1
+            same = np.bincount(group)[group] > 1  # a piece alone has no equal windows
+            lead, group = lead[same], group[same]
+        if len(lead):
+            order = np.lexsort((start[lead], doc[lead], group))
+            lead, group = lead[order], group[order]
+            raw, at = buffers(t.column(6).take(pa.array(lead)))
+            flat = raw.view(np.uint64) if plan.words else raw
+            p, s, m = matcher(flat, n[lead] + plan.window - 1, group, doc[lead], plan)
+            piece.append(lead[p]), shift.append(s), length.append(m)
+        piece, shift, length = (np.concatenate(x) for x in (piece, shift, length))
+        twins = count[piece]
+        d = np.concatenate([doc[piece], np.repeat(doc[piece], twins)])
+        s = np.concatenate([start[piece] + shift, _long(more)[runs_of(first_more[piece], twins)] + np.repeat(shift, twins)])
+        d, s, m = _runs(d, s, np.concatenate([length, np.repeat(length, twins)]))
         release()
-        return pd.DataFrame(out, columns=["block", "kind", "blob"])
+        return pa.record_batch([pa.array(d), pa.array(s), pa.array(m.astype(np.int32))], names=["doc", "start", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, limit = [], 0, MATCH_BYTES
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= limit:
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = _long(t.column(0))
+                cut = int(np.searchsorted(key, key[-1], "left"))
+                if cut:
+                    yield from _cut(marks(t.slice(0, cut)))
+                held = t.slice(cut).to_batches()
+                size = sum(b.nbytes for b in held)
+                limit = max(MATCH_BYTES, 2 * size)
+        if held:
+            yield from _cut(marks(pa.Table.from_batches(held).combine_chunks()))
 
     return run
 
 
-def _finish(plan: Plan, report: Callable) -> Callable:
-    """A block's texts and marks to the rows that ``report(doc, raw, offsets, mask, word bounds)``
-    makes; mask: the symbols that marked windows cover."""
+def spans(flat: np.ndarray, length: np.ndarray, total: int) -> np.ndarray:
+    """A mask of ``total`` symbols: those in any run [flat, flat + length)."""
+    edge = np.bincount(flat, minlength=total + 1) - np.bincount(flat + length, minlength=total + 1)
+    return np.cumsum(edge[:total]) > 0
+
 
-    def run(texts: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        import pandas as pd
+def _finish(plan: Plan, report: Callable, schema: str) -> Callable:
+    """Batches of (doc_id, sub, text, marks, other columns) to the rows that
+    ``report(doc, raw, offsets, symbols up to each text, mask)`` makes, with the other columns."""
+    fields = to_arrow_schema(StructType.fromDDL(schema))
 
-        doc, start, n = _joined(list(marks.blob), "i8 i8 u1")
-        out = []
-        for have, sub, raw, at in _open(list(texts.blob)):
-            bounds, rows = None, at
-            if plan.words:
-                begin, end, rows = word_bounds(is_word_table("space")[raw], at)
-                bounds = begin, end
-            which, row = _lookup(have, sub, doc, start)
-            flat = rows[row] + (start[which] & ((1 << ROW_BIT) - 1))
-            mask = spans(flat, n[which].astype(np.int64) + plan.window - 1, int(rows[-1]))
-            out.append(report(have, raw, at, rows, mask, bounds))
-        return pd.concat(out) if out else report(np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, bool), (np.zeros(0, np.int64),) * 2)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 2):
+            raw, at = buffers(batch.column(2))
+            rows = word_bounds(is_word_table("space")[raw], at)[2] if plan.words else at
+            size, marks = _lists(batch.column(3))
+            flat = np.repeat(rows[:-1], size) + (_long(marks.field(0)) & ((1 << ROW_BIT) - 1))
+            mask = spans(flat, _long(marks.field(1)) + plan.window - 1, int(rows[-1]))
+            made = report(_long(batch.column(0)), raw, at, rows, mask)
+            made |= {"was": batch.column(2), "rest": batch.column(4) if batch.num_columns > 4 else None}
+            yield pa.record_batch([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in fields], schema=fields)
+            release()
 
     return run
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """(doc_id, sub, text): rows that share a doc_id get different numbers by text; repeats of a
-    whole row share one. Null doc_ids are left out."""
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def numbered(docs: DataFrame, keep: bool) -> DataFrame:
+    """(doc_id, sub, text, rest): rows that share a doc_id get different numbers, by text. ``rest`` has
+    the other columns if they are to be kept. Rows with a null doc_id are left out."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*(F.col(f"`{c}`").alias(c) for c in others)) if keep and others else F.struct(F.lit(None).cast("int").alias("none"))
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     sub = F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1 if twice else F.lit(0)
-    return docs.select("doc_id", sub.cast("int").alias("sub"), "text")
+    return docs.select("doc_id", sub.cast("int").alias("sub"), "text", *(["rest"] if keep else []))
 
 
-def repeated(docs: DataFrame, *, words: bool, window: int, anchor: int, within: bool, matcher: Callable, report: Callable, schema: str) -> DataFrame:
+def repeated(docs: DataFrame, *, words: bool, window: int, anchor: int, within: bool, matcher: Callable, report: Callable, schema: str, keep: bool = False) -> DataFrame:
     """Runs the steps above over ``docs`` and returns what ``report`` makes, one row a document."""
     tune(docs.sparkSession)
-    rows = numbered(docs)
+    plan = Plan(words, window, anchor, within)
+    whole = numbered(docs, keep)
+    rows = whole.select("doc_id", "sub", "text")
     total = text_bytes(rows)
-    plan = Plan(words, window, anchor, within, parts(total, RANGE_BYTES, 64), parts(total, BLOCK_BYTES, 64))
-    units_ = rows.mapInArrow(_scan(plan), "range bigint, kind int, blob binary")
-    settled = materialize(units_.groupBy("range").applyInPandas(_settle(plan), "block bigint, kind int, blob binary"), "settled")
-    texts = lambda: rows.mapInArrow(_texts(plan), "block bigint, blob binary").groupBy("block")
-    pieces = texts().cogroup(settled.where("kind in (2, 3)").groupBy("block")).applyInPandas(_fetch(plan), "range bigint, kind int, blob binary, symbols binary")
-    matched = pieces.groupBy("range").applyInPandas(_match(plan, matcher), "block bigint, kind int, blob binary")
-    marks = settled.where("kind = 1").unionByName(matched)
-    return texts().cogroup(marks.groupBy("block")).applyInPandas(_finish(plan, report), schema)
+    partitions = min(MOST_PARTS, parts(total, PART_BYTES, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    scanned = rows.mapInArrow(_scan(plan, _frequent(rows, plan, total)), UNITS)
+    settled = materialize(_settle(scanned, plan, partitions), "settled")
+    sub = F.shiftright("start", ROW_BIT).cast("int")
+    asked = settled.where(F.col("kind") != MARK).groupBy(F.col("doc").alias("doc_id"), sub.alias("sub"))
+    asked = asked.agg(F.collect_list(F.struct("g", "kind", "start", "n", "more")).alias("asked"))
+    pieces = rows.join(asked, ["doc_id", "sub"]).select("doc_id", "sub", "text", "asked").mapInArrow(_pieces(plan), PIECES)
+    same = Window.partitionBy("key", "kind", "symbols").orderBy("doc", "start")
+    late = F.row_number().over(same) > 1 if within else F.col("doc") > F.first("doc").over(same)
+    done = ((F.col("kind") == MARK) | late).cast("int")
+    dealt = pieces.repartition(partitions, "key").withColumn("done", done).sortWithinPartitions("key")
+    kept = F.when(F.col("done") == 0, F.col("symbols"))
+    matched = dealt.select("key", "done", "doc", "start", "n", "more", kept.alias("symbols")).mapInArrow(_match(plan, matcher), MARKS)
+    known = settled.where(F.col("kind") == MARK).select("doc", F.explode(F.concat(F.array("start"), F.coalesce("more", F.array().cast("array<bigint>")))).alias("start"), "n")
+    marks = known.unionByName(matched).groupBy(F.col("doc").alias("doc_id"), sub.alias("sub")).agg(F.collect_list(F.struct("start", "n")).alias("marks"))
+    last = whole.join(marks, ["doc_id", "sub"], "left").select("doc_id", "sub", "text", "marks", *(["rest"] if keep else []))
+    return last.mapInArrow(_finish(plan, report, schema), schema)

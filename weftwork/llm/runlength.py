@@ -14,11 +14,9 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence
 from .repeats import Plan, repeated
 
 WINDOW, ANCHOR = 50, 20
@@ -28,9 +26,12 @@ INDEX_BYTES = 1 << 19
 
 class RunLengthIndex:
     """Index of texts given as one byte array and their lengths; each text ends with a mark of its
-    own, less than any byte, so no match runs into the next text."""
+    own, less than any byte, so no match runs into the next text. What stays after the build: the
+    bytes, for comparisons at a change of runs; per run of the BWT its first row, letter and the
+    suffixes sampled at both ends; and, if ``doc`` is given, the intervals of equal ``window``-byte
+    strings with the least document that holds each."""
 
-    def __init__(self, flat: np.ndarray, size: np.ndarray):
+    def __init__(self, flat: np.ndarray, size: np.ndarray, doc: np.ndarray | None = None, window: int = WINDOW):
         n, texts = len(flat) + len(size), len(size)
         self.begin = np.cumsum(size + 1) - size - 1
         self.text = np.full(n, 0, np.int64)
@@ -38,14 +39,13 @@ class RunLengthIndex:
         marks = self.begin + size
         body[marks] = False
         self.text[body] = flat.astype(np.int64) + 1
-        self.marks = marks
-        self.suffixes = self._sorted(n, texts, marks)
-        before = self.text[self.suffixes - 1]  # of the first text's start: the last mark
+        suffixes = self._sorted(n, texts, marks)
+        before = self.text[suffixes - 1]  # of the first text's start: the last mark
         heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
         self.heads, self.letters = heads, before[heads]
         lengths = np.diff(np.append(heads, n))
-        self.first_sample = self.suffixes[heads]
-        self.last_sample = self.suffixes[heads + lengths - 1]
+        self.first_sample = suffixes[heads]
+        self.last_sample = suffixes[heads + lengths - 1]
         # Runs ordered by letter, then place: the key of run r of letter c is c * runs + r.
         order = np.argsort(self.letters, kind="stable")
         self.keys = self.letters[order] * len(heads) + order
@@ -53,6 +53,8 @@ class RunLengthIndex:
         upto = np.cumsum(lengths[order]) - lengths[order]
         self.lf_of_head = np.empty(len(heads), np.int64)  # LF maps a run's head to its letter's rows in order
         self.lf_of_head[order] = upto
+        if doc is not None:
+            self.first, self.least = self._intervals(suffixes, marks, doc, window)
 
     def _sorted(self, n: int, texts: int, marks: np.ndarray) -> np.ndarray:
         """The suffix array by prefix doubling, from ranks of 7 bytes on."""
@@ -103,7 +105,7 @@ class RunLengthIndex:
         """Yields, from the last byte of each pattern back, (patterns, offset in each, bytes
         matched, row): the longest match, up to ``most`` bytes, of what starts there."""
         row, run = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
-        place, length = self.suffixes[row].copy(), np.zeros(len(size), np.int64)
+        place, length = self.first_sample[row].copy(), np.zeros(len(size), np.int64)  # row 0 heads a run
         runs = len(self.heads)
         for back in range(1, int(size.max(initial=0)) + 1):
             who = np.flatnonzero(size >= back)
@@ -139,32 +141,38 @@ class RunLengthIndex:
             length[who] = np.minimum(grown, most)
             yield who, size[who] - back, length[who], row[who]
 
-    def intervals(self, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first rows of the intervals of equal ``window``-byte strings, interval of each row);
-        the interval of a suffix that is shorter is its own row."""
+    def _intervals(self, suffixes: np.ndarray, marks: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first rows of the intervals of suffixes that start with equal ``window``-byte strings, the
+        least document of each); the interval of a shorter suffix is its own row. Bytes are compared."""
         n = len(self.text)
-        stop = self.marks[np.minimum(np.searchsorted(self.marks, np.arange(n)), len(self.marks) - 1)] - np.arange(n)
-        hashes = np.zeros(n, np.uint64)
-        value = Sequence(BYTE_VALUE[np.maximum(self.text - 1, 0)]).fixed(window)
-        hashes[: len(value)] = value
-        whole = (stop >= window)[self.suffixes]
-        sorted_hash = hashes[self.suffixes]
+        owner = np.minimum(np.searchsorted(marks, suffixes), len(marks) - 1)
+        whole = marks[owner] - suffixes >= window
+        same = whole[1:] & whole[:-1]
+        at = np.flatnonzero(same)
+        raw = np.zeros(n + 8, np.uint8)
+        raw[:n] = np.maximum(self.text - 1, 0)
+        eight = np.zeros(n, np.uint64)
+        for i in range(8):
+            eight |= raw[i : n + i].astype(np.uint64) << np.uint64(8 * i)
+        width = min(8, window)
+        if width < 8:
+            eight &= np.uint64((1 << 8 * width) - 1)
+        for i in sorted({*range(0, window - width + 1, width), window - width}):
+            at = at[eight[suffixes[at] + i] == eight[suffixes[at + 1] + i]]
         new = np.ones(n, bool)
-        new[1:] = (sorted_hash[1:] != sorted_hash[:-1]) | ~whole[1:] | ~whole[:-1]
-        return np.flatnonzero(new), np.cumsum(new) - 1
+        new[at + 1] = False
+        first = np.flatnonzero(new)
+        return first, np.minimum.reduceat(doc[owner], first)
 
 
 def _mark(flat: np.ndarray, size: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(piece, offset) of the windows that a piece of a lesser document holds too."""
-    index = RunLengthIndex(flat, size)
-    first, interval = index.intervals(window)
-    owner = doc[np.minimum(np.searchsorted(index.marks, index.suffixes), len(doc) - 1)]
-    least = np.minimum.reduceat(owner, first)
+    index = RunLengthIndex(flat, size, doc, window)
     begin = np.cumsum(size) - size
     pieces, offsets = [], []
     for who, offset, length, row in index.statistics(flat, begin, size, window):
         hit = np.flatnonzero(length >= window)
-        hit = hit[least[interval[row[hit]]] < doc[who[hit]]]
+        hit = hit[index.least[np.searchsorted(index.first, row[hit], "right") - 1] < doc[who[hit]]]
         pieces.append(who[hit]), offsets.append(offset[hit])
     return np.concatenate(pieces), np.concatenate(offsets)
 
@@ -188,21 +196,27 @@ def match(flat: np.ndarray, size: np.ndarray, group: np.ndarray, doc: np.ndarray
     return piece, offset, np.ones(len(piece), np.int64)
 
 
-REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, text_sha256 string"
+REPORT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>"
 
 
-def _report(doc, raw, at, rows, mask, bounds) -> pd.DataFrame:
-    out = []
-    for d, s, e in zip(doc.tolist(), at[:-1].tolist(), at[1:].tolist()):
-        own, whole = mask[s:e], hashlib.sha256(raw[s:e].tobytes()).hexdigest()
-        if own.any():
-            step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
-            begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-            kept = raw[s:e][~own].tobytes()
-            out.append((d, e - s, int((end - begin).sum()), len(begin), hashlib.sha256(kept).hexdigest(), np.stack([begin, end], 1).reshape(-1), whole))
-        else:
-            out.append((d, e - s, 0, 0, whole, np.zeros(0, np.int64), whole))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "text_sha256"])
+def removed_runs(own: np.ndarray) -> np.ndarray:
+    """The maximal runs of a mask as [start, end, start, end, ...]."""
+    step = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
+    return np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], 1).reshape(-1)
+
+
+def _report(doc, raw, at, rows, mask) -> dict:
+    size, n_removed = np.diff(at), np.diff(np.append(0, np.cumsum(mask))[at])
+    runs, digests = [np.zeros(0, np.int64)] * len(doc), []
+    for i, (s, e, n) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), n_removed.tolist())):
+        if n:
+            runs[i] = removed_runs(mask[s:e])
+        digests.append(hashlib.sha256((raw[s:e][~mask[s:e]] if n else raw[s:e]).tobytes()).hexdigest())
+    return {"doc_id": doc, "n_bytes": size, "n_removed": n_removed, "n_spans": [len(r) // 2 for r in runs], "kept_sha256": digests, "spans": runs}
+
+
+def _search(docs: DataFrame, window: int, anchor: int, report, schema: str, keep: bool) -> DataFrame:
+    return repeated(docs, words=False, window=window, anchor=anchor, within=False, matcher=match, report=report, schema=schema, keep=keep)
 
 
 def long_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -212,28 +226,38 @@ def long_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     A byte goes if a ``window``-byte string that covers it also starts in a document with a lesser
     doc_id; strings are judged on the input. A null text is empty; texts shorter than ``window``
     stay whole. Rows that share a doc_id are judged one by one and never against each other; rows
-    with a null doc_id are left out. Extra columns are ignored; no rows give no rows.
+    with a null doc_id are left out. Extra columns are ignored, whatever their names; no rows give
+    no rows.
     """
-    return repeated(docs, words=False, window=window, anchor=anchor, within=False, matcher=match, report=_report, schema=REPORT)
+    return _search(docs, window, anchor, _report, REPORT, False)
 
 
-def remove_long_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def remove_long_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """``docs`` with the repeated bytes cut out of ``text``, and ``n_chars`` of what stays if there
-    is such a column; other columns and rows stay, texts that become empty too. A character of
-    which a byte was cut loses its other bytes."""
-    found = long_repeats(docs, window).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "spans").dropDuplicates(["_id", "_sha"])
-
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, runs: pd.Series) -> pd.Series:
-        def one(t, r):
-            raw = t.encode()
-            at = [0, *r, len(raw)]
-            return b"".join(raw[at[i] : at[i + 1]] for i in range(0, len(at), 2)).decode("utf-8", "ignore")
-
-        return pd.Series([t if r is None else one(t, r) for t, r in zip(text, runs)], dtype=object)
-
-    joined = docs.join(found.withColumnRenamed("spans", "_spans"), (docs.doc_id == found._id) & (F.sha2(docs.text, 256) == found._sha), "left")
-    out = joined.withColumn("text", F.when(F.col("_spans").isNotNull(), cut(docs.text, "_spans")).otherwise(docs.text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(docs.n_chars))
-    return out.select(*docs.columns)
+    is such a column; other columns and rows stay, texts that become empty and rows with a null
+    doc_id too. A character of which a byte was cut loses its other bytes. Columns may have any name."""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    kept = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others) or "none: int"
+
+    def cut(doc, raw, at, rows, mask) -> dict:
+        texts = [None] * len(doc)
+        for i, (s, e, any_) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), (np.diff(np.append(0, np.cumsum(mask))[at]) > 0).tolist())):
+            if any_:
+                texts[i] = raw[s:e][~mask[s:e]].tobytes().decode("utf-8", "ignore")
+        return {"doc_id": doc, "now": texts, "rest": None}
+
+    schema = f"doc_id bigint, was string, now string, rest struct<{kept}>"
+    found = _search(docs, window, anchor, cut, schema, True)
+    changed = F.col("now").isNotNull()
+    columns = []
+    for f in docs.schema.fields:
+        if f.name == "doc_id":
+            column = F.col("doc_id").cast(f.dataType)
+        elif f.name == "text":
+            column = F.coalesce("now", "was").cast(f.dataType)
+        else:
+            column = F.col("rest").getField(f.name)
+            if f.name == "n_chars":
+                column = F.when(changed, F.length("now").cast(f.dataType)).otherwise(column)
+        columns.append(column.alias(f.name))
+    return found.select(*columns).unionByName(docs.where("doc_id is null"))

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence, buffers, is_word_table, lower_table, release, row_key, small, word_bounds
-from .repeats import word_hashes
+from .common import BYTE_VALUE, Sequence, buffers, distinct_words, is_word_table, lower_table, release, small, word_bounds
 
 BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 2
 PER_CLASS, SAMPLE_BYTES, MET, THRESHOLD = 1000, 32768, 5, 0.7
@@ -92,7 +91,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
     raw = np.frombuffer(b"".join(texts), np.uint8)
     at = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     raw, start, end, rows = split(raw, at)
-    _, first, word = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
+    word, first, _ = distinct_words(raw, start, end)
     owner, bucket = subwords(raw, start[first], end[first])
     per_word = 1 / np.bincount(owner)
     # Buckets that few texts use cannot tell anything; their vectors stay zero.
@@ -159,41 +158,52 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sampl
     """The training sample: ``labels`` (doc_id, toxic) picks the documents. A document labelled
     twice counts as toxic if one label says so; null labels are left out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.select(F.col("doc_id").alias("_id"), "toxic", F.xxhash64("doc_id").alias("h"))
-    picked = [known.where(F.col("toxic") == y).orderBy("h", "_id").limit(per_class) for y in (0, 1)]
-    chosen = picked[0].union(picked[1])
-    rows = docs.join(F.broadcast(chosen), docs.doc_id == chosen._id).where(F.octet_length(docs.text) <= sample_bytes)
-    found = rows.select("h", "_id", docs.text.alias("text"), "toxic").dropDuplicates(["_id"]).toPandas().sort_values(["h", "_id"])
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+    h = F.xxhash64("doc_id")
+    found = texts.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).withColumn("h", h)
+    picked = [found.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
+    found = picked[0].union(picked[1]).toPandas().sort_values(["h", "doc_id"])
     return [t.encode() for t in found.text], found.toxic.to_numpy(np.int64)
 
 
 SCHEMA = "doc_id bigint, score double, predicted int"
 
 
+def _scorer(docs: DataFrame, model: Model):
+    """A function from a text column to its scores, for use in tasks; the model is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32), model.weights, model.bias))
+
+    def scores(column: pa.Array) -> np.ndarray:
+        own = Model(*shared.value)
+        raw, start, end, rows = split(*buffers(column))
+        worst = np.zeros(len(column))
+        if len(start):
+            word, first, _ = distinct_words(raw, start, end)
+            logits = own.word_logits(*subwords(raw, start[first], end[first]), len(first))
+            seg_start, seg_text = segments(rows)
+            size = np.minimum(SEGMENT, rows[seg_text + 1] - seg_start)
+            seg = np.add.reduceat(logits[word], seg_start) / size
+            has = np.flatnonzero(np.diff(rows) > 0)
+            worst[has] = np.maximum.reduceat(seg, np.searchsorted(seg_text, has))
+        p = softmax_toxic(worst * SEGMENT + own.bias)
+        if own.bias < 20:  # else all labels were toxic
+            p[np.diff(rows) == 0] = 0.0
+        return p
+
+    return scores
+
+
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of every document, from its whole text alone.
 
     A null, empty or wordless text scores 0 (1 if all known labels are toxic). doc_id may be null or repeated: one
     row for each row. Extra columns are ignored; no rows give no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32), model.weights, model.bias))
+    scores = _scorer(docs, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
         for batch in small(batches, 1):
-            raw, start, end, rows = split(*buffers(batch.column(1)))
-            worst = np.zeros(batch.num_rows)
-            if len(start):
-                _, first, word = np.unique(word_hashes(raw, start, end), return_index=True, return_inverse=True)
-                logits = own.word_logits(*subwords(raw, start[first], end[first]), len(first))
-                seg_start, seg_text = segments(rows)
-                size = np.minimum(SEGMENT, rows[seg_text + 1] - seg_start)
-                seg = np.add.reduceat(logits[word], seg_start) / size
-                has = np.flatnonzero(np.diff(rows) > 0)
-                worst[has] = np.maximum.reduceat(seg, np.searchsorted(seg_text, has))
-            p = softmax_toxic(worst * SEGMENT + own.bias)
-            if own.bias < 20:  # else all labels were toxic
-                p[np.diff(rows) == 0] = 0.0
+            p = scores(batch.column(1))
             yield pa.record_batch([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
@@ -212,7 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, each judged by its own text whether its
-    doc_id is null, shared or neither."""
-    bad = score(docs.select(row_key().alias("doc_id"), "text"), fit(docs, labels), threshold).where("predicted = 1").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, row_key() == bad._bad, "left_anti")
+    """The rows of ``docs`` whose text scores below the threshold, with all their columns. Each row is
+    judged by its own text, whether its doc_id is null, shared or neither; rows without words stay
+    (unless all known labels are toxic). No rows give no rows."""
+    scores, at = _scorer(docs, fit(docs, labels)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, at):
+            yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

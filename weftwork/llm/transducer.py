@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, small
-from .repeats import word_hashes
+from .common import buffers, small, word_hashes
 from .vocabulary import LIMIT, Vocabulary
 
 # Classes of characters: the letters that contractions are made of apart.
