@@ -33,9 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back: cuts the lineage, survives
-    lost executors and keeps several consumers from computing it again."""
-    path = f"{shared_dir(df.sparkSession)}/weftwork-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    lost executors and keeps several consumers from computing it again. The shuffle files of the
+    write are removed after it."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = f"{shared_dir(df.sparkSession)}/weftwork-{tag}-{uuid.uuid4().hex}", conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(key, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weftwork_path = path
     return out
