@@ -14,32 +14,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that go to the executors together, rows of an index block, queries added at a time.
-QUERY_BLOCK, ROW_BLOCK, AT_ONCE = 2048, 8192, 128
-
-
-def quantised(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that take part, their components as integers): floor(scale * x), x as double; rows
-    that are null, empty, or hold a null or non-finite component take no part."""
-    n = len(column)
-    if n == 0:
-        return np.zeros(0, np.int64), np.zeros((0, 0), np.int64)
-    size = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], np.int64)
-    flat = column.flatten().cast(pa.float64())
-    values = flat.fill_null(np.nan).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(size)
-    bad = np.append(0, np.cumsum(~np.isfinite(values)))
-    ok = np.flatnonzero((size > 0) & (bad[ends] == bad[ends - size]))
-    if not len(ok):
-        return ok, np.zeros((0, 0), np.int64)
-    width = int(np.bincount(size[ok]).argmax())
-    ok = ok[size[ok] == width]
-    at = (ends - size)[ok]
-    return ok, np.floor(scale * values[at[:, None] + np.arange(width)]).astype(np.int64)
+from .common import parts
+
+#: Rows of an index block, queries added at a time; bytes of components (8 each) of the queries and of
+#: the rows that one task has.
+ROW_BLOCK, AT_ONCE, QUERY_BYTES, ROW_BYTES = 8192, 128, 32 << 20, 128 << 20
+
+
+def quantised(column: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of one width, their components as integers), width by width: floor(scale * x), x as
+    double. Raises ValueError if a component does not fit into 53 bits."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    size = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = column.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    at = np.cumsum(size) - size
+    for width in np.unique(size):
+        own = np.flatnonzero(size == width)
+        scaled = np.floor(scale * values[at[own][:, None] + np.arange(width)])
+        if np.abs(scaled).max(initial=0) >= 2.0**53:
+            raise ValueError("a scaled component does not fit into 53 bits")
+        yield own, scaled.astype(np.int64)
 
 
 def bits_of(values: np.ndarray) -> int:
@@ -99,6 +97,8 @@ def scores(index: np.ndarray, queries: np.ndarray) -> list[np.ndarray]:
     query_bits = bits_of(queries)
     shape = (len(queries), words)
     total_bits = bits + query_bits + int(width).bit_length()
+    if total_bits > 63:
+        raise ValueError("scores do not fit into 63 bits")
     plus, minus = Adder(), Adder()
     for a in range(query_bits):
         chosen = np.where((queries >> a) & 1, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64(0))
@@ -158,60 +158,49 @@ def best(values: np.ndarray, ids: np.ndarray, index: np.ndarray, queries: np.nda
         yield some_ids[q[keep]], ids[r[keep]], value[keep]
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    """(vec_id, embedding) of the rows that take part."""
+    plain = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return plain.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & finite)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank from 1, vec_id, score): each query's ``k`` highest integer inner products
     with all other rows of ``vectors``, ties to the lesser vec_id; all, if there are fewer.
 
     Both tables have (vec_id, embedding). Rows whose vector is null, empty, or holds a null or
-    non-finite component take no part, nor do rows with a null id or of another width than most.
-    Repeated ids are rows of their own; rows with the query's id are not its candidates. Extra
-    columns are ignored. The stated queries are taken in blocks of QUERY_BLOCK, so what goes to the
-    executors is bounded; every block meets all rows.
+    non-finite component take no part, nor do rows with a null id. A query meets the rows of its own
+    width. Repeated ids are rows of their own; rows with the query's id are not its candidates; of
+    repeated query ids the least vector is asked. Extra columns are ignored; no rows give no rows.
+    Components beyond 53 bits and scores beyond 63 raise ValueError.
+
+    Queries and rows are dealt by hash into parts of bounded bytes, and each pair of parts is one
+    group: it builds the index of its rows and asks its queries. Only group sizes come from counts;
+    no vector passes through the driver and nothing is broadcast.
     """
     spark = vectors.sparkSession
-    plain = vectors.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    asked = queries.where("vec_id is not null").select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-
-    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        held: list = []
-        kind = pa.list_(pa.float64())
-
-        def made():
-            ok, values = quantised(pa.array([r.embedding for r in held], kind), scale)
-            ids = np.array([r.vec_id for r in held], np.int64)[ok]
-            fresh = np.unique(ids, return_index=True)[1]
-            return ids[fresh], values[fresh]
-
-        for row in asked.toLocalIterator():
-            held.append(row)
-            if len(held) == QUERY_BLOCK:
-                yield made()
-                held.clear()
-        if held:
-            yield made()
-
-    found = None
-    for ids, values in blocks():
-        if not len(ids):
-            continue
-        shared = spark.sparkContext.broadcast((ids, values))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            query_ids, query_values = shared.value
-            for batch in batches:
-                for s in range(0, batch.num_rows, ROW_BLOCK):
-                    part = batch.slice(s, ROW_BLOCK)
-                    ok, rows = quantised(part.column(1), scale)
-                    if not len(ok) or rows.shape[1] != query_values.shape[1]:
-                        continue
-                    own = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[ok]
-                    for q, r, v in best(rows, own, slices(rows), query_values, query_ids, k):
-                        yield pa.record_batch([pa.array(q), pa.array(r), pa.array(v)], ["query_id", "vec_id", "score"])
-
-        some = plain.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
+    rows, asked = _usable(vectors), _usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    volume = lambda df: df.agg(F.coalesce(F.sum(F.size("embedding").cast("bigint")), F.lit(0))).first()[0] * 8
+    asked_parts = parts(volume(_usable(queries)), QUERY_BYTES)
+    row_parts = parts(volume(rows), ROW_BYTES, -(-spark.sparkContext.defaultParallelism // asked_parts))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.select("vec_id", "embedding", deal(row_parts).alias("r"), every(asked_parts).alias("q"))
+    right = asked.select("vec_id", "embedding", every(row_parts).alias("r"), deal(asked_parts).alias("q"))
+
+    def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 3]
+        by_width = {q.shape[1]: (at, q) for at, q in quantised(wanted.column("embedding"), scale)} if wanted.num_rows else {}
+        query_ids, ids = (t.column("vec_id").to_numpy().astype(np.int64) for t in (wanted, own))
+        for at, values in quantised(own.column("embedding"), scale) if by_width and own.num_rows else ():
+            asked_at, query_values = by_width.get(values.shape[1], (None, None))
+            for s in range(0, len(at) if asked_at is not None else 0, ROW_BLOCK):
+                block = values[s : s + ROW_BLOCK]
+                out += best(block, ids[at[s : s + ROW_BLOCK]], slices(block), query_values, query_ids[asked_at], k)
+        return pa.table([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out)], names=["query_id", "vec_id", "score"])
+
+    found = left.groupBy("r", "q").cogroup(right.groupBy("r", "q")).applyInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

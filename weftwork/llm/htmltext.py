@@ -44,7 +44,9 @@ ENDS = {
     "body": ({"head"}, set()),
 }
 NO_P = BLOCKS - {"html", "body", "option", "optgroup", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "textarea", "select"}
-TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|[^<]+|<", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*>?|[^<]+|<", re.S)
+QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
 SPACES = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
@@ -66,8 +68,19 @@ def attributes(text: str) -> dict[str, str]:
     return out
 
 
+def tag_end(html: str, at: int) -> int:
+    """Where a tag's ``>`` is, outside of quotes; -1 if the page ends within the tag."""
+    while m := QUOTE_OR_END.search(html, at):
+        if m[0] == ">":
+            return m.start()
+        at = html.find(m[0], m.end()) + 1
+        if at == 0:
+            break
+    return -1
+
+
 def build(html: str) -> Node:
-    """The tree of a page."""
+    """The tree of a page. A tag that the page ends in is dropped, as browsers do."""
     root = Node("", {})
     stack, open_count, at, end = [root], {}, 0, len(html)
 
@@ -102,16 +115,19 @@ def build(html: str) -> Node:
             open_count[tag] = open_count.get(tag, 0) + 1
 
     while at < end:
-        m = TOKEN.match(html, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            text = m[0]
+        m = NAME.match(html, at)
+        if m is None:
+            text = OTHER.match(html, at)[0]
+            at += len(text)
             if text[0] != "<" or text == "<":
                 if stack[-1].tag == "head" and text.strip():
                     close(len(stack) - 1)
                 stack[-1].children.append(text)
             continue
+        tag, stop = m[2], tag_end(html, m.end())
+        if stop < 0:
+            break
+        inside, at = html[m.end() : stop], stop + 1
         tag = tag.lower()
         if m[1]:
             if open_count.get(tag):
@@ -124,7 +140,7 @@ def build(html: str) -> Node:
             elif tag == "p":  # an end without a start is an empty paragraph
                 stack[-1].children.append(Node("p", {}))
             continue
-        start(tag, attributes(m[3]))
+        start(tag, attributes(inside))
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(html, at)
             upto = stop.start() if stop else end

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, buffers, discard, materialize, mix, release, small, tune
+from .common import SLICE_BYTES, buffers, discard, is_word_table, lower_table, materialize, mix, release, runs_of, small, tune, word_bounds
 from .components import connected_components
 
 SEED = 42
@@ -27,6 +27,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BUCKET = 64
 #: Bands of a set of shingles, and minima of each.
 BANDS, BAND = 24, 4
+#: Texts of more bytes have no list of words made; shingles that are hashed at a time.
+LONG, AT_ONCE = 1 << 20, 1 << 15
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -63,35 +65,47 @@ def segment(fps: np.ndarray, i: int) -> np.ndarray:
     return (fps >> np.uint64(at)) & np.uint64((1 << width) - 1)
 
 
-def shingle_hashes(text: bytes, k: int) -> list[int]:
-    """XXH64 of every run of ``k`` words, joined by one space; of all words if they are fewer."""
+def shingle_hashes(text: bytes, k: int) -> Iterator[np.ndarray]:
+    """XXH64 of every run of ``k`` words, joined by one space, some at a time; of all words if they
+    are fewer. Words are runs of bytes other than ASCII white space, A-Z lower-cased."""
     from xxhash import xxh64_intdigest as digest
 
-    words = text.lower().split()
-    if len(words) <= k:
-        return [digest(b" ".join(words), SEED)] if words else []
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    return [digest(joined[s:e], SEED) for s, e in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
-
-
-def majority(hashes: list[int]) -> int:
+    if len(text) > LONG:  # no list of words
+        raw = lower_table()[np.frombuffer(text, np.uint8)]
+        start, end, _ = word_bounds(is_word_table("space")[raw], np.array([0, len(raw)]))
+        size = end - start + 1
+        body = np.append(raw, np.uint8(0x20))[runs_of(start, size)]
+        ends = np.cumsum(size) - 1
+        body[ends] = 0x20
+        joined, starts = memoryview(body), ends - size + 1
+    else:
+        words = text.lower().split()
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([np.zeros(min(1, len(words)), np.int64), ends[:-1] + 1])
+    if len(starts) > k:
+        starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    for i in range(0, len(starts), AT_ONCE):
+        part = zip(starts[i : i + AT_ONCE].tolist(), ends[i : i + AT_ONCE].tolist())
+        yield np.array([digest(joined[s:e], SEED) for s, e in part], np.uint64)
+
+
+def majority(hashes: Iterator[np.ndarray]) -> int:
     """The bits that are set in over half of the hashes."""
-    if not hashes:
-        return 0
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        some = np.array(hashes[i : i + (1 << 16)], np.uint64)
+    counts, n = np.zeros(64, np.int64), 0
+    for some in hashes:
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+        n += len(some)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
 def fingerprints(docs: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, fp bigint) of every document; a null or wordless text has fingerprint zero."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches, 1):
             raw, at = buffers(batch.column(1))
             raw = memoryview(raw)
             fps = np.array([majority(shingle_hashes(bytes(raw[s:e]), k)) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], np.uint64)
@@ -146,8 +160,9 @@ def links(fps: DataFrame) -> DataFrame:
     linked exactly through the words within one bit of them, which needs no pairs.
     """
     sizes = lambda keyed: keyed.groupBy("key", "sub").agg(F.count("*").alias("n")).where("n > 1")
-    coarse = _keyed(fps, False)
+    coarse = materialize(_keyed(fps, False), "keys")
     sized = materialize(coarse.join(sizes(coarse), ["key", "sub"]), "buckets")
+    discard(coarse)
     found = _pairs(sized.where(F.col("n") <= BUCKET))
     hot = sized.where(F.col("n") > BUCKET).select("fp").distinct()
     keys = sized.where(F.col("n") > BUCKET).select("key").distinct()
@@ -193,7 +208,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
         for batch in small(batches, 1, SLICE_BYTES):
             raw, at = buffers(batch.column(1))
             raw = memoryview(raw)
-            sets = [np.unique(np.array(shingle_hashes(bytes(raw[s:e]), k), np.uint64)) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(bytes(raw[s:e]), k)])) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             least = np.full((len(sets), BANDS * BAND), (1 << 64) - 1, np.uint64)
             for i, some in enumerate(sets):
                 for j in range(0, len(some), 1 << 12):
@@ -263,7 +278,10 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
 
 
 def keep_one(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that are the least of their class of similar documents. Rows with a null
-    doc_id belong to no class and stay."""
+    """The rows of ``docs`` that are the least of their class of similar documents, with all their
+    columns. Rows with a null doc_id belong to no class and stay; rows that share a doc_id stay or go
+    together. Null, empty and wordless texts are alike, so one of them stays. Columns may have any
+    name; no rows give no rows."""
     gone = similar_documents(docs, k, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == gone._gone, "left_anti")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("own"))
+    return rows.join(gone, rows.own == gone._gone, "left_anti").select("row.*")

@@ -1,12 +1,13 @@
 """Toxicity scores from averaged subword embeddings and a linear softmax.
 
 A word's vector is the mean of the vectors of its character n-grams and of the word itself, looked
-up by hash; so a misspelling shares most of the vectors of the word it stands for. A segment of a
-few words is the mean of their vectors, a linear softmax scores it, and a document scores as its
-worst segment, so a long text cannot dilute what it holds. Vectors and softmax are trained jointly
-by gradient descent in numpy on the driver, on a bounded sample of labelled documents: at most
-``per_class`` of each label, those with the least hash of their id, of at most ``sample_bytes``
-bytes each. Scoring covers whole texts of all documents.
+up by hash; so a misspelling shares most of the vectors of the word it stands for. A document's
+vector is the average over its words; as an average alone dilutes what a long text holds in one
+place, the average over its worst pair of neighbouring words (at any place) counts as well. A linear
+softmax scores both. Vectors and softmax are trained jointly by gradient descent in numpy on the
+driver, on a bounded sample of labelled documents: at most ``per_class`` of each label, those with
+the least hash of their id, of at most ``sample_bytes`` bytes each. Scoring covers whole texts of
+all documents.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_VALUE, Sequence, buffers, distinct_words, is_word_table, lower_table, release, small, word_bounds
+from .common import BYTE_VALUE, Sequence, buffers, distinct_words, is_word_table, lower_table, release, runs_of, small, word_bounds
 
-BUCKETS, DIMENSIONS, GRAMS, SEGMENT = 1 << 18, 8, (3, 4, 5, 6), 2
+BUCKETS, DIMENSIONS, GRAMS = 1 << 18, 8, (3, 4, 5, 6)
+#: Words of a window; factors of a document's average and of its worst window's.
+WINDOW, AVERAGE, WORST = 2, 8.0, 4.0
 PER_CLASS, SAMPLE_BYTES, MET, THRESHOLD = 1000, 32768, 5, 0.7
 OPEN, CLOSE = np.uint8(0x02), np.uint8(0x03)
 
@@ -52,13 +55,18 @@ def subwords(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return np.concatenate(words), np.concatenate(buckets)
 
 
-def segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each segment, text of each segment): SEGMENT words, or what is left."""
+def windows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, words, text) of every window: WINDOW neighbouring words, or a shorter text's all."""
     n = np.diff(rows)
-    count = -(-n // SEGMENT)
+    count = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
     text = np.repeat(np.arange(len(n)), count)
-    within = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-    return rows[text] + within * SEGMENT, text
+    return runs_of(rows[:-1], count), np.minimum(WINDOW, n)[text], text
+
+
+def pooled(words: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Mean of ``words`` over each run [start, start + size)."""
+    upto = np.append(0, np.cumsum(words))
+    return (upto[start + size] - upto[start]) / size
 
 
 @dataclass
@@ -75,6 +83,17 @@ class Model:
         return np.bincount(words, own[buckets], n) / np.maximum(1, np.bincount(words, minlength=n))
 
 
+def document_logits(words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The difference of the logits of each text, but for the bias, from what its words add: the
+    average of all, and that of the worst window. Texts without words get 0."""
+    out = np.zeros(len(rows) - 1)
+    has = np.flatnonzero(np.diff(rows) > 0)
+    if len(has):
+        begin, size, text = windows(rows)
+        out[has] = WORST * np.maximum.reduceat(pooled(words, begin, size), np.searchsorted(text, has)) + AVERAGE * pooled(words, rows[has], np.diff(rows)[has])
+    return out
+
+
 def softmax_toxic(logit: np.ndarray) -> np.ndarray:
     """The second class's share of a softmax over two logits that differ by ``logit``."""
     return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
@@ -102,28 +121,29 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
     used = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS))
     column = np.searchsorted(used, bucket).astype(np.int32)
     del bucket, frequent, met, text_of_word
-    seg_start, seg_text = segments(rows)
-    seg_size = np.minimum(SEGMENT, rows[seg_text + 1] - seg_start)
-    lines = np.repeat(np.arange(len(seg_start)), seg_size)
+    begin, size, text = windows(rows)
     has = np.flatnonzero(np.diff(rows) > 0)
-    text_first = np.searchsorted(seg_text, has)
+    text_first, own_text = np.searchsorted(text, has), np.searchsorted(has, text)
+    length = np.diff(rows)[has]
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     small_vectors, bias = np.zeros((len(used), DIMENSIONS)), 0.0
     speed, w_speed, b_speed = np.zeros_like(small_vectors), np.zeros_like(weights), 0.0
-    owner_text = np.searchsorted(has, seg_text)
     for turn in range(rounds):
         direction = weights[1] - weights[0]
         own = small_vectors @ direction
-        logit_word = np.bincount(owner, own[column], len(first)) * per_word
-        seg = np.bincount(lines, logit_word[word], len(seg_start)) / seg_size * SEGMENT
-        # At first all segments of a document share its gradient, in the end the worst ones take it.
+        each = (np.bincount(owner, own[column], len(first)) * per_word)[word]
+        seg = WORST * pooled(each, begin, size)
+        # At first all windows of a document share its gradient, in the end the worst ones take it.
         sharp = 30 * max(0.0, turn / rounds - 0.1)
         worst = np.maximum.reduceat(seg, text_first)
-        share = np.exp(sharp * (seg - worst[owner_text]))
-        share /= np.add.reduceat(share, text_first)[owner_text]
-        error = (softmax_toxic(np.add.reduceat(share * seg, text_first) + bias) - labels[has]) * weight[has]
-        g_seg = error[owner_text] * share / seg_size * SEGMENT
-        g_word = np.bincount(word, g_seg[lines], len(first)) * per_word
+        share = np.exp(sharp * (seg - worst[own_text]))
+        share /= np.add.reduceat(share, text_first)[own_text]
+        mean = AVERAGE * pooled(each, rows[has], length)
+        error = (softmax_toxic(np.add.reduceat(share * seg, text_first) + mean + bias) - labels[has]) * weight[has]
+        g_seg = error[own_text] * share / size * WORST
+        edge = np.bincount(begin, g_seg, len(word) + 1) - np.bincount(begin + size, g_seg, len(word) + 1)
+        g_each = np.cumsum(edge)[:-1] + np.repeat(error / length * AVERAGE, length)
+        g_word = np.bincount(word, g_each, len(first)) * per_word
         g_own = np.bincount(column, g_word[owner], len(used)) / len(has)
         g_weights = g_own @ small_vectors
         speed = 0.9 * speed + np.outer(g_own, direction) + decay * small_vectors
@@ -135,8 +155,8 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 120, rate: float
         bias -= 0.1 * b_speed
     vectors[used] = small_vectors
     own = small_vectors @ (weights[1] - weights[0])
-    seg = np.bincount(lines, (np.bincount(owner, own[column], len(first)) * per_word)[word], len(seg_start)) / seg_size * SEGMENT
-    border = boundary(np.maximum.reduceat(seg, text_first), labels[has])
+    each = (np.bincount(owner, own[column], len(first)) * per_word)[word]
+    border = boundary(document_logits(each, rows)[has], labels[has])
     return Model(vectors, weights, float(np.log(THRESHOLD / (1 - THRESHOLD)) - border))
 
 
@@ -176,16 +196,11 @@ def _scorer(docs: DataFrame, model: Model):
     def scores(column: pa.Array) -> np.ndarray:
         own = Model(*shared.value)
         raw, start, end, rows = split(*buffers(column))
-        worst = np.zeros(len(column))
+        logit = np.zeros(len(column))
         if len(start):
             word, first, _ = distinct_words(raw, start, end)
-            logits = own.word_logits(*subwords(raw, start[first], end[first]), len(first))
-            seg_start, seg_text = segments(rows)
-            size = np.minimum(SEGMENT, rows[seg_text + 1] - seg_start)
-            seg = np.add.reduceat(logits[word], seg_start) / size
-            has = np.flatnonzero(np.diff(rows) > 0)
-            worst[has] = np.maximum.reduceat(seg, np.searchsorted(seg_text, has))
-        p = softmax_toxic(worst * SEGMENT + own.bias)
+            logit = document_logits(own.word_logits(*subwords(raw, start[first], end[first]), len(first))[word], rows)
+        p = softmax_toxic(logit + own.bias)
         if own.bias < 20:  # else all labels were toxic
             p[np.diff(rows) == 0] = 0.0
         return p

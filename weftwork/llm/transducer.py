@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, small, word_hashes
+from .common import buffers, distinct_words, small
 from .vocabulary import LIMIT, Vocabulary
 
 # Classes of characters: the letters that contractions are made of apart.
@@ -214,7 +214,7 @@ class TextCounter:
         self.table = class_table(vocabulary.classes)
         self.words = WordCounter(vocabulary)
         self.specials = [s.encode() for s in sorted(vocabulary.specials, key=len, reverse=True)]
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
 
     def _segments(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(starts of stretches of plain or special text, which of them are special)."""
@@ -250,16 +250,17 @@ class TextCounter:
         inside = special[np.searchsorted(starts, word, "right") - 1]
         end = np.append(word[1:], len(raw))
         plain, plain_end = word[~inside], end[~inside]
-        hashes = word_hashes(raw, plain, plain_end)
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        known, count, data = self.known, self.words.count, raw.tobytes()
+        which, _, distinct = distinct_words(raw, plain, plain_end)
+        known, count = self.known, self.words.count
         if len(known) + len(distinct) > KEPT_WORDS:
             known.clear()
         tokens = np.empty(len(distinct), np.int64)
-        for i, (h, s, e) in enumerate(zip(distinct.tolist(), plain[first].tolist(), plain_end[first].tolist())):
-            n = known.get(h)
+        for i, w in enumerate(distinct.to_pylist()):
+            n = known.get(w)
             if n is None:
-                n = known[h] = count(data[s:e])
+                n = count(w)
+                if len(w) <= 64:
+                    known[w] = n
             tokens[i] = n
         row = np.searchsorted(at, plain, "right") - 1
         out += np.bincount(row, tokens[which], len(out)).astype(np.int64)
@@ -282,8 +283,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     Special strings in a text count as their one token, as the tokenizer's library has it. A null
     text is empty. doc_id may be null or repeated: one row for each row. Extra columns are ignored;
-    no rows give no rows. ``path``: a .json tokenizer file, read on the driver. Distinct words are
-    told apart by 64-bit hashes.
+    no rows give no rows. ``path``: a .json tokenizer file, read on the driver.
     """
     tables = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(path))
 
