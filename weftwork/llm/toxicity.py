@@ -176,13 +176,14 @@ def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
     """The training sample: ``labels`` (doc_id, toxic) picks the documents. A document labelled
-    twice counts as toxic if one label says so; null labels are left out."""
+    twice counts as toxic if one label says so; null labels are left out; of texts that share a
+    doc_id the least is taken. Only ids are shuffled to pick the sample."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    h = F.xxhash64("doc_id")
-    found = texts.join(known, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).withColumn("h", h)
-    picked = [found.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
-    found = picked[0].union(picked[1]).toPandas().sort_values(["h", "doc_id"])
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+    met = rows.select("doc_id").join(known, "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    picked = [met.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
+    chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class rows at most
+    found = rows.join(chosen, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "doc_id"])
     return [t.encode() for t in found.text], found.toxic.to_numpy(np.int64)
 
 
@@ -246,4 +247,5 @@ def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOL
         for batch in small(batches, at):
             yield batch.filter(pa.array(scores(batch.column(at)) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names may hold dots
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
