@@ -195,8 +195,9 @@ def _components(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, n, keys, shingles) of every document: its distinct shingle hashes, how many they
-    are, a hash of them all and one key a band of BAND minima, each under a permutation of its own."""
+    """(doc_id, fp, n, keys, sig, shingles) of every document: its distinct shingle hashes, how many
+    they are, a hash of them all, one key a band of BAND minima, each under a permutation of its own,
+    and 8 bits of each minimum."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     weights = rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -215,31 +216,47 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                     np.minimum(least[i], (factors[:, None] * some[j : j + (1 << 12)]).min(1), out=least[i])
             keys = mix((mix(least.reshape(-1, BANDS, BAND)) * weights).sum(2, dtype=np.uint64) + bands)
             n = np.array([len(x) for x in sets], np.int32)
+            sig = (mix(least) >> np.uint64(56)).astype(np.uint8).reshape(-1).view(np.int64)
             lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
             fps = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64)
             yield pa.record_batch(
-                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
-                ["doc_id", "fp", "n", "keys", "shingles"],
+                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(np.full(len(sets), BANDS * BAND // 8), sig), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
+                ["doc_id", "fp", "n", "keys", "sig", "shingles"],
             )
             del sets, least, keys
             release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, shingles array<bigint>")
+    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, shingles array<bigint>")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` at least."""
-    pairs = materialize(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    needed = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+def _bits_apart(similarity: float) -> int:
+    """Bits by which the signatures of two sets of that similarity differ at most: five standard
+    deviations above the mean. Unequal minima have half of their 8 bits unequal."""
+    m = BANDS * BAND
+    unequal = m * (1 - similarity)
+    return int(4 * unequal + 5 * (2 * unequal + 16 * m * similarity * (1 - similarity)) ** 0.5)
+
+
+def _near(similarity: float):
+    """Whether sizes (na, nb) and signatures (ga, gb) let two sets be that similar."""
+    bits = sum((F.bit_count(F.get("ga", F.lit(i)).bitwiseXOR(F.get("gb", F.lit(i)))) for i in range(BANDS * BAND // 8)), F.lit(0))
+    return (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6) & (bits <= _bits_apart(similarity))
+
+
+def _alike(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` at least;
+    shingles are read only for pairs whose sizes and signatures allow it."""
+    pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    sign = lambda x: signatures.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"))
+    both = materialize(pairs.join(sign("a"), "a").join(sign("b"), "b").where(_near(similarity)).select("a", "b"), "pairs")
+    needed = both.select(F.col("a").alias("fp")).union(both.select("b")).distinct()
     used = materialize(sets.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     side = lambda x: used.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
-    both = pairs.join(side("a").drop("sa"), "a").join(side("b").drop("sb"), "b")
-    both = both.where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6).select("a", "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = both.join(side("a"), "a").join(side("b"), "b").where(shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared) - 1e-6)
     found = materialize(out.select("a", "b"), "alike")
-    discard(pairs), discard(used)
+    discard(both), discard(used)
     return found
 
 
@@ -250,9 +267,11 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
 
     Such sets differ in far more than the few bits of a fingerprint that Golay keys can bridge (at
     0.8 about 10 of 64), so candidates come from BANDS bands of BAND minima of the sets: a pair at
-    0.8 shares none with a probability of 3e-6. Every link is verified by counting. In a bucket,
-    members are compared with its least and greatest first; then all pairs that are not in one
-    component yet are compared, so a large group of copies needs no pairs within it.
+    0.8 shares none with a probability of 3e-6. A signature of 8 bits of each minimum and the sizes
+    rule pairs out before their shingles are read (a pair at 0.8 with a probability below 1e-5); every
+    link is verified by counting. In a bucket, members are compared with its least and greatest
+    first; then the pairs that are not in one component yet are joined on the bucket, with sizes and
+    signatures as part of the join's condition, so a large group of copies needs no pairs within it.
 
     Wordless texts have equal, empty sets. Rows with a null doc_id are left out; a doc_id that occurs
     twice gives two rows. Extra columns are ignored; no rows give no rows.
@@ -261,18 +280,22 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     sets = materialize(shingle_sets(docs, k).where("doc_id is not null"), "shingles")
     each = materialize(sets.select("doc_id", "fp"), "fingerprints")
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    signatures = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
     keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
     buckets = materialize(keyed.join(ends, "key"), "buckets")
     star = buckets.select(F.col("fp").alias("a"), F.col("m").alias("b")).union(buckets.select("fp", "x"))
-    edges = _alike(star, sets, similarity)
+    edges = _alike(star, signatures, sets, similarity)
     parts = connected_components(edges)
     members = materialize(buckets.join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
     discard(buckets)
-    groups = members.select("key", "c").distinct()
-    apart = groups.select("key", F.col("c").alias("ca")).join(groups.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    rest = apart.join(members.select("key", F.col("c").alias("ca"), F.col("fp").alias("a")), ["key", "ca"]).join(members.select("key", F.col("c").alias("cb"), F.col("fp").alias("b")), ["key", "cb"])
-    edges = edges.union(_alike(rest.select("a", "b"), sets, similarity))
+    mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    left = materialize(members.join(mixed, "key", "left_semi").join(signatures, "fp"), "mixed")
+    side = lambda x: left.select("key", F.col("fp").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"))
+    a, b = side("a"), side("b").withColumnRenamed("key", "other")
+    rest = a.join(b, (a["key"] == b["other"]) & (F.col("ca") < F.col("cb")) & _near(similarity)).select("a", "b")
+    edges = edges.union(_alike(rest, signatures, sets, similarity))
+    discard(left), discard(signatures)
     discard(members), discard(sets)
     return _components(each, classes, edges)
 
