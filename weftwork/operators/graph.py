@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,10 +20,17 @@ def _cut(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(own or f"file://{os.path.join(tempfile.gettempdir(), 'weftwork-graph')}")
     return df.checkpoint()
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """The rounds' tables together; none is written again."""
+    return reduce(DataFrame.union, parts)
+
+
 class CycleError(ValueError):
     """Some nodes depend on themselves; ``some`` names at most ten of them."""
 
@@ -34,54 +42,57 @@ class CycleError(ValueError):
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(index, level): 0 without dependencies, else 1 + the greatest level of any dependency.
     Raises CycleError for graphs that are not acyclic."""
-    pairs = _cut(edges.select("src", "dst").distinct())
-    ready = _cut(nodes.select("index").join(pairs, nodes["index"] == pairs.src, "left_anti").withColumn("level", F.lit(0)))
-    done, waiting, level = ready, pairs, 0
-    while True:
+    waiting = _cut(edges.select("src", "dst").distinct())
+    left = _cut(waiting.select(F.col("src").alias("index")).distinct())
+    ready = _cut(nodes.select("index").join(left, "index", "left_anti").withColumn("level", F.lit(0)))
+    done = [ready]
+    while not left.isEmpty():
         waiting = _cut(waiting.join(ready.select(F.col("index").alias("dst")), "dst", "left_anti"))
-        left = pairs.select(F.col("src").alias("index")).distinct().join(done.select("index"), "index", "left_anti")
-        level += 1
-        ready = _cut(left.join(waiting.select(F.col("src").alias("index")), "index", "left_anti").withColumn("level", F.lit(level)))
+        still = waiting.select(F.col("src").alias("index")).distinct()
+        ready = _cut(left.join(still, "index", "left_anti").withColumn("level", F.lit(len(done))))
         if ready.isEmpty():
-            stuck = [r["index"] for r in left.limit(10).collect()]
-            if stuck:
-                raise CycleError(stuck)
-            return done
-        done = _cut(done.union(ready))
+            raise CycleError([r["index"] for r in left.limit(10).collect()])
+        done.append(ready)
+        left = _cut(still)
+    return _union(done)
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame:
     """(index, level, path): seconds of the longest chain of dependencies that ends with each node,
     groups left aside. ``ranked``: what ``levels`` gives."""
     rows = _cut(nodes.select("index", "execution").join(ranked, "index"))
-    pairs = edges.select("src", "dst").distinct()
+    pairs = _cut(edges.select("src", "dst").distinct().join(rows.select(F.col("index").alias("src"), "level"), "src"))
     deepest = rows.agg(F.max("level")).first()[0] or 0
-    done = rows.where("level = 0").select("index", "level", F.col("execution").alias("path"))
+    done = [_cut(rows.where("level = 0").select("index", "level", F.col("execution").alias("path")))]
     for level in range(1, deepest + 1):
-        now = rows.where(F.col("level") == level)
-        before = now.join(pairs, now["index"] == pairs.src).join(done.select(F.col("index").alias("dst"), "path"), "dst").groupBy("index").agg(F.max("path").alias("before"))
-        done = _cut(done.union(now.join(before, "index").select("index", "level", (F.col("before") + F.col("execution")).alias("path"))))
-    return done
+        paths = _union(done).select(F.col("index").alias("dst"), "path")
+        before = pairs.where(F.col("level") == level).join(paths, "dst").groupBy(F.col("src").alias("index")).agg(F.max("path").alias("before"))
+        now = rows.where(F.col("level") == level).join(before, "index")
+        done.append(_cut(now.select("index", "level", (F.col("before") + F.col("execution")).alias("path"))))
+    return _union(done)
 
 
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, index, hops): everything that each root (a column ``index``) depends on, with the
     fewest hops to it; each node once a root."""
-    pairs = edges.select("src", "dst").distinct()
-    front = roots.select(F.col("index").alias("root"), "index", F.lit(0).alias("hops"))
-    seen, hops = front, 0
-    while True:
-        hops += 1
-        step = front.join(pairs, front["index"] == pairs.src).select("root", F.col("dst").alias("index")).distinct()
-        front = _cut(step.join(seen.select("root", "index"), ["root", "index"], "left_anti").withColumn("hops", F.lit(hops)))
-        if front.isEmpty():
-            return seen.where("hops > 0")
-        seen = _cut(seen.union(front))
+    pairs = _cut(edges.select("src", "dst").distinct())
+    front = roots.select(F.col("index").alias("root"), "index")
+    seen = [_cut(front.distinct().withColumn("hops", F.lit(0)))]
+    while not seen[-1].isEmpty():
+        step = seen[-1].join(pairs, seen[-1]["index"] == pairs.src).select("root", F.col("dst").alias("index")).distinct()
+        fresh = step.join(_union(seen).select("root", "index"), ["root", "index"], "left_anti")
+        seen.append(_cut(fresh.withColumn("hops", F.lit(len(seen)))))
+    return _union(seen).where("hops > 0")
 
 
 def live(roots: DataFrame, edges: DataFrame) -> DataFrame:
-    """(index): the roots and all that they depend on."""
-    return roots.select("index").union(closure(roots, edges).select("index")).distinct()
+    """(index): the roots and all that they depend on. One frontier of nodes: no root is kept."""
+    pairs = _cut(edges.select("src", "dst").distinct())
+    seen = [_cut(roots.select("index").distinct())]
+    while not seen[-1].isEmpty():
+        step = pairs.join(seen[-1], pairs.src == seen[-1]["index"], "left_semi").select(F.col("dst").alias("index")).distinct()
+        seen.append(_cut(step.join(_union(seen), "index", "left_anti")))
+    return _union(seen)
 
 
 def deepest_chain(edges: DataFrame, ranked: DataFrame, start: int) -> list[int]:

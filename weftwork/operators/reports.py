@@ -31,12 +31,16 @@ def run_ends(profile: DataFrame) -> DataFrame:
 
 
 def summary(nodes: DataFrame, traces: DataFrame) -> DataFrame:
-    """One row of totals: runs, rules, rules of the last run, traces, seconds of work and of
-    traces, the last stop of a trace, and both ratios that are called parallelism."""
+    """One row of totals: runs, rules, rules of the last run, seconds of work in all and in the last
+    run, traces and their seconds in all and in the last run, the last stop of a trace of the last
+    run, and that run's parallelism by rules and by traces. ``traces`` has the ``index`` of its node."""
+    last = traces.join(nodes.where("built = 0").select("index"), "index", "left_semi")
     n = nodes.agg((F.max("changed") + 1).alias("runs"), F.count("*").alias("rules"), F.count(F.when(F.col("built") == 0, 1)).alias("rules_last"), F.sum("execution").alias("work"), F.sum(F.when(F.col("built") == 0, F.col("execution"))).alias("work_last"))
-    t = traces.agg((F.count("*") - 1).alias("traced"), F.sum(F.col("stop") - F.col("start")).alias("traced_time"), F.max("stop").alias("end"))
+    spent = F.sum(F.col("stop") - F.col("start"))
+    t = traces.agg((F.count("*") - 1).alias("traced"), spent.alias("traced_time"))
+    own = last.agg(F.count("*").alias("traced_last"), spent.alias("traced_time_last"), F.max("stop").alias("end"))
     ratio = lambda x: F.coalesce(F.try_divide(x, "end"), F.lit(0.0))
-    return n.crossJoin(t).select("*", ratio("work_last").alias("parallelism"), ratio("traced_time").alias("trace_parallelism"))  # two single rows
+    return n.crossJoin(t).crossJoin(own).select("*", ratio("work_last").alias("parallelism"), ratio("traced_time_last").alias("trace_parallelism"))  # three single rows
 
 
 def timeline(traces: DataFrame, end: float, buckets: int = 100) -> DataFrame:
@@ -53,8 +57,13 @@ def timeline(traces: DataFrame, end: float, buckets: int = 100) -> DataFrame:
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
-    """Per node: those that depend on it."""
-    return edges.groupBy(F.col("dst").alias("index")).agg(F.array_sort(F.collect_set("src")).alias("rdepends"))
+    """(index, src): each node with one that depends on it; a hub's users stay rows."""
+    return edges.select(F.col("dst").alias("index"), "src").distinct()
+
+
+def users(edges: DataFrame) -> DataFrame:
+    """Per node: how many depend on it, the first and the last of them."""
+    return reverse_edges(edges).groupBy("index").agg(F.count("*").alias("users"), F.min("src").alias("first"), F.max("src").alias("last"))
 
 
 def dependency_names(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -98,12 +107,28 @@ def concurrency(traces: DataFrame, key: str) -> DataFrame:
 
 
 def error_levels(errors: DataFrame, key: str, levels=(100, 90, 80, 50)) -> DataFrame:
-    """Per key and level L: the bound within which the smallest L percent of the errors lie."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("error"))
-    n = F.count("*").over(Window.partitionBy(key))
-    ranked = errors.withColumn("rank", rank).withColumn("n", n)
-    spread = ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).where(F.col("rank") <= F.floor(F.col("n") * F.col("level") / 100))
-    return spread.groupBy(key, "level").agg(F.ceil(F.max("error")).cast("bigint").alias("within"))
+    """Per key and level L: the bound within which the smallest L percent of the errors lie.
+
+    Bounds are whole numbers, so errors are first counted by the whole number above them: ranks then
+    come from as many rows as there are such numbers, however many errors share one. Null errors are
+    the least, and the bound of nulls alone is null."""
+    counted = errors.groupBy(key, F.ceil("error").cast("bigint").alias("within")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy(key).orderBy(F.col("within").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(Window.partitionBy(key)))
+    spread = ranked.withColumn("level", F.explode(F.array(*map(F.lit, levels)))).withColumn("wanted", F.floor(F.col("total") * F.col("level") / 100))
+    return spread.where((F.col("wanted") > 0) & (F.col("upto") - F.col("n") < F.col("wanted"))).groupBy(key, "level").agg(F.max("within").alias("within"))
+
+
+def rule_times(profile: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """Per group of found rows (index, group): exclusive and weighted time, from the starts that
+    ``simulation.starts`` gives for 24 threads."""
+    timed = exclusive_time(starts, key)
+    return profile.select("index", "group").join(timed, "index").groupBy("group").agg(F.sum("etime").alias("etime"), F.sum("wtime").alias("wtime"))
+
+
+def counters(profile: DataFrame, found: DataFrame) -> DataFrame:
+    """One row: rows found, of how many, and in how many groups."""
+    return found.agg(F.count("*").alias("found"), F.count_distinct("group").alias("groups")).crossJoin(profile.agg(F.count("*").alias("total")))  # single rows
 
 
 def exclusive_time(starts: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ group; different thread counts or profiles run in parallel."""
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterable
 
 import pandas as pd
@@ -11,106 +12,100 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-class _Finishing:
-    """Running tasks by finishing time; of equal times the one that was added last comes first."""
+class _Clock:
+    """The state of a simulated run: what runs, by its end (of equal ends what began last is first),
+    and when each task began and ended."""
 
-    def __init__(self) -> None:
-        self.heap: list[tuple[float, int, int]] = []
-        self.added = 0
+    def __init__(self, execution: list[float]):
+        self.execution, self.now, self.running = execution, 0.0, []
+        self.began: dict[int, float] = {}
+        self.ended: dict[int, float] = {}
 
-    def add(self, task: int, time: float) -> None:
-        self.added += 1
-        heapq.heappush(self.heap, (time, -self.added, task))
+    def begin(self, task: int) -> None:
+        self.began[task] = self.now
+        heapq.heappush(self.running, (self.now + self.execution[task], -len(self.began), task))
 
-    def pop(self) -> tuple[float, int]:
-        time, _, task = heapq.heappop(self.heap)
-        return time, task
+    def next_end(self) -> int:
+        self.now, _, task = heapq.heappop(self.running)
+        self.ended[task] = self.now
+        return task
 
-    def __len__(self) -> int:
-        return len(self.heap)
+    def check(self) -> None:
+        if len(self.ended) < len(self.execution):
+            raise ValueError("some tasks wait for each other")
 
 
-def _graph(depends: Iterable) -> tuple[list[list[list[int]]], list[list[int]], list[int]]:
-    groups = [[list(map(int, g)) for g in d] for d in depends]
-    users: list[list[int]] = [[] for _ in groups]
-    for i, d in enumerate(groups):
-        for g in d:
-            for x in g:
-                users[x].append(i)
-    return groups, users, [sum(map(len, d)) for d in groups]
+def _groups(depends: Iterable) -> list[list[list[int]]]:
+    return [[[int(x) for x in group] for group in own] for own in depends]
+
+
+def _users(groups: list[list[list[int]]]) -> dict[int, list[int]]:
+    """By task, who depends on it: once for each mention."""
+    users: dict[int, list[int]] = {}
+    for task, own in enumerate(groups):
+        for dependency in itertools.chain.from_iterable(own):
+            users.setdefault(dependency, []).append(task)
+    return users
 
 
 def simulate(execution: list[float], depends: Iterable, threads: int) -> tuple[float, list[float]]:
     """(makespan, start of each task) of a list scheduler with ``threads`` workers that takes the
     task that became ready last."""
-    groups, users, waiting = _graph(depends)
-    ready = [i for i, n in enumerate(waiting) if not n]
-    start, running, now = [0.0] * len(groups), _Finishing(), 0.0
-    while ready or len(running):
-        while ready and len(running) < threads:
-            task = ready.pop()
-            start[task] = now
-            running.add(task, now + execution[task])
-        now, task = running.pop()
-        for user in users[task]:
-            waiting[user] -= 1
-            if not waiting[user]:
-                ready.append(user)
-    if any(waiting):
-        raise ValueError("some tasks wait for each other")
-    return now, start
+    groups, clock = _groups(depends), _Clock(execution)
+    users = _users(groups)
+    open_ = {task: n for task, own in enumerate(groups) if (n := sum(map(len, own)))}
+    stack = [task for task in range(len(groups)) if task not in open_]
+    while stack or clock.running:
+        if stack and len(clock.running) < threads:
+            clock.begin(stack.pop())
+            continue
+        for user in users.get(clock.next_end(), ()):
+            open_[user] -= 1
+            if not open_[user]:
+                stack.append(user)
+    clock.check()
+    return clock.now, [clock.began[task] for task in range(len(groups))]
 
 
 def precise_path(execution: list[float], depends: Iterable) -> float:
-    """The makespan with any number of workers if a task demands its groups one after another."""
-    groups, users, waiting = _graph(depends)
-    demanded, done = [False] * len(groups), [False] * len(groups)
-    told: list[list] = [[] for _ in groups]  # who continues when a task is done: (user, round)
-    left: dict[tuple[int, int], int] = {}
-    running, now = _Finishing(), 0.0
-    todo: list[tuple[int, int]] = []
-
-    def demand(task: int) -> None:
-        if not demanded[task]:
-            demanded[task] = True
-            if waiting[task]:
-                todo.append((task, 0))
-            else:
-                running.add(task, now + execution[task])
-
-    def proceed() -> None:
-        while todo:
-            task, turn = todo.pop()
-            while turn < len(groups[task]):
-                missing = [d for d in groups[task][turn] if not done[d]]
-                if missing:
-                    left[task, turn] = len(missing)
-                    for d in missing:
-                        told[d].append((task, turn))
-                    for d in missing:
-                        demand(d)
-                    break
-                turn += 1
-
-    for i, own in enumerate(users):
-        if not own:
-            demand(i)
-    proceed()
-    while len(running):
-        now, task = running.pop()
-        done[task] = True
-        for user, turn in told[task]:
-            left[user, turn] -= 1
-            if not left[user, turn]:
-                todo.append((user, turn + 1))
-        proceed()
-        for user in users[task]:
-            waiting[user] -= 1
-            if not waiting[user] and demanded[user]:
-                running.add(user, now + execution[user])
-    if not all(done):
-        raise ValueError("some tasks wait for each other")
-    return now
+    """The makespan with any number of workers if a task demands its groups one after another.
+
+    Each demanded task is a generator that yields the unfinished tasks of a group and goes on when
+    they have ended; after its last group it begins. Tasks that nothing depends on are demanded first."""
+    groups, clock = _groups(depends), _Clock(execution)
+    users = _users(groups)
+
+    def life(task: int):
+        for group in groups[task]:
+            if missing := {x for x in group if x not in clock.ended}:
+                yield missing
+        clock.begin(task)
+
+    lives: dict[int, object] = {}
+    missing: dict[int, set[int]] = {}
+    watched: dict[int, list[int]] = {}
+
+    def go_on(tasks: list[int]) -> None:
+        while tasks:
+            task = tasks.pop()
+            for dependency in missing.setdefault(task, set()) or next(lives.setdefault(task, life(task)), ()):
+                missing[task].add(dependency)
+                watched.setdefault(dependency, []).append(task)
+                if dependency not in lives:
+                    lives[dependency] = life(dependency)
+                    tasks.append(dependency)
+
+    go_on([task for task in range(len(groups)) if task not in users])
+    while clock.running:
+        ended = clock.next_end()
+        freed = []
+        for task in watched.pop(ended, ()):
+            missing[task].discard(ended)
+            if not missing[task]:
+                freed.append(task)
+        go_on(freed)
+    clock.check()
+    return clock.now
 
 
 def _rows(frame: pd.DataFrame) -> tuple[list[float], list]:

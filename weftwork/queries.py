@@ -107,12 +107,20 @@ def untraced(spark, sf):
     return profile(spark, sf).select("index", r(reports.untraced()).alias("untraced"))
 
 
-@query("""SELECT runs, rules, rules_last, round(work, 3) AS work, round(work_last, 3) AS work_last, traced, round(traced_time, 3) AS traced_time, round("end", 3) AS "end", round(work_last / "end", 6) AS parallelism, round(traced_time / "end", 6) AS trace_parallelism
+@query("""SELECT runs, rules, rules_last, round(work, 3) AS work, round(work_last, 3) AS work_last, traced, round(traced_time, 3) AS traced_time, traced_last, round(traced_time_last, 3) AS traced_time_last, round("end", 3) AS "end",
+round(coalesce(work_last / "end", 0), 6) AS parallelism, round(coalesce(traced_time_last / "end", 0), 6) AS trace_parallelism
 FROM (SELECT max(changed) + 1 AS runs, count(*) AS rules, count(*) FILTER (built = 0) AS rules_last, sum(execution) AS work, sum(execution) FILTER (built = 0) AS work_last FROM nodes),
-(SELECT count(*) - 1 AS traced, sum(stop - start) AS traced_time, max(stop) AS "end" FROM traces)""", o.NODES, o.TRACES)
+(SELECT count(*) - 1 AS traced, sum(stop - start) AS traced_time FROM traces),
+(SELECT count(*) AS traced_last, sum(stop - start) AS traced_time_last, max(stop) AS "end" FROM traces WHERE "index" IN (SELECT "index" FROM nodes WHERE built = 0))""", o.NODES, o.TRACES)
 def summary_totals(spark, sf):
     out = reports.summary(nodes(spark, sf), traces(spark, sf))
-    return out.withColumns({c: r(F.col(c)) for c in ("work", "work_last", "traced_time", "end")} | {c: r(F.col(c), 6) for c in ("parallelism", "trace_parallelism")})
+    return out.withColumns({c: r(F.col(c)) for c in ("work", "work_last", "traced_time", "traced_time_last", "end")} | {c: r(F.col(c), 6) for c in ("parallelism", "trace_parallelism")})
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (regexp_matches(name, '(\\.[_0-9a-z]+)$') AND built = 0) AS found, count(DISTINCT CASE WHEN built = 0 THEN nullif(regexp_extract(name, '(\\.[_0-9a-z]+)$', 1), '') END) AS groups FROM nodes""", o.NODES)
+def search_counters(spark, sf):
+    rows = nodes(spark, sf)
+    return reports.counters(rows, dsl.search(rows, dsl.run(0) & dsl.named(dsl.Regex(r"(\.[_0-9a-z]+)$"))))
 
 
 @query("""SELECT name, round(execution, 3) AS seconds FROM nodes ORDER BY execution DESC, "index" DESC LIMIT 1""", o.NODES)
@@ -193,8 +201,7 @@ def ew_time(spark, sf):
 
 @query("""SELECT dst AS "index", CAST(count(DISTINCT src) AS BIGINT) AS users, min(src) AS first, max(src) AS last FROM edges GROUP BY dst""", o.EDGES)
 def reverse_edges(spark, sf):
-    out = reports.reverse_edges(edges(spark, sf))
-    return out.select("index", F.size("rdepends").cast("bigint").alias("users"), F.get("rdepends", F.lit(0)).alias("first"), F.try_element_at("rdepends", F.lit(-1)).alias("last"))
+    return reports.users(edges(spark, sf))
 
 
 @query("""SELECT a.name, group_no, b.name AS needs FROM edges JOIN nodes a ON src = a."index" JOIN nodes b ON dst = b."index" """, o.NODES, o.EDGES)
@@ -238,20 +245,18 @@ def transitive_closure_all(spark, sf):
     return graph.closure(nodes(spark, sf), edges(spark, sf))
 
 
-@query("""SELECT kind, count(*) AS n FROM nodes n WHERE "index" IN (
-SELECT "index" FROM nodes WHERE kind = 'order' AND "index" % 1099511627776 % 50 = 0 UNION SELECT dst FROM edges WHERE src % 1099511627776 % 50 = 0 AND src >= 5497558138880
-UNION SELECT b.dst FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src % 1099511627776 % 50 = 0 AND a.src >= 5497558138880
-UNION SELECT c.dst FROM edges a JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst WHERE a.src % 1099511627776 % 50 = 0 AND a.src >= 5497558138880) GROUP BY kind""", o.NODES, o.EDGES)
+@query("""SELECT kind, count(*) AS n FROM nodes WHERE "index" IN (WITH RECURSIVE l AS (
+SELECT "index" FROM nodes WHERE kind = 'order' AND built = 0 UNION SELECT dst FROM l JOIN edges ON src = l."index") SELECT "index" FROM l) GROUP BY kind""", o.NODES, o.EDGES)
 def live_files(spark, sf):
+    """What the orders of the last run keep alive."""
     n = nodes(spark, sf)
-    roots = n.where((F.col("kind") == "order") & (F.col("index") % derived.KIND % 50 == 0))
-    return n.join(graph.live(roots, edges(spark, sf)), "index", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
+    return n.join(graph.live(n.where("kind = 'order' and built = 0"), edges(spark, sf)), "index", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("""SELECT kind, count(*) AS n FROM nodes WHERE "index" IN (WITH RECURSIVE l AS (
 SELECT "index" FROM nodes WHERE kind = 'order' AND "index" NOT IN (SELECT dst FROM edges) UNION SELECT dst FROM l JOIN edges ON src = l."index") SELECT "index" FROM l) GROUP BY kind""", o.NODES, o.EDGES)
 def live_files_all(spark, sf):
-    """What all orders that nothing depends on keep alive; ``live_files`` has the roots that its SQL has."""
+    """What all orders that nothing depends on keep alive."""
     n, e = nodes(spark, sf), edges(spark, sf)
     roots = n.where("kind = 'order'").join(e.select(F.col("dst").alias("index")), "index", "left_anti")
     return n.join(graph.live(roots, e), "index", "left_semi").groupBy("kind").agg(F.count("*").alias("n"))
