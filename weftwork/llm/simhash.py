@@ -11,6 +11,7 @@ codeword index of the next segment): about 16 keys a fingerprint, of 30 to 35 bi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ SEGMENTS = ((0, 23), (23, 23), (46, 18))
 BUCKET = 64
 #: Bands of a set of shingles, and minima of each.
 BANDS, BAND = 24, 4
+#: Bits of the map of a set of shingles.
+MAP = 1024
 #: Texts of more bytes have no list of words made; shingles that are hashed at a time.
 LONG, AT_ONCE = 1 << 20, 1 << 15
 _tables: dict[str, np.ndarray] = {}
@@ -195,9 +198,9 @@ def _components(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFr
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, n, keys, sig, shingles) of every document: its distinct shingle hashes, how many
-    they are, a hash of them all, one key a band of BAND minima, each under a permutation of its own,
-    and 8 bits of each minimum."""
+    """(doc_id, fp, n, keys, sig, map, shingles) of every document: its distinct shingle hashes, how
+    many they are, a hash of them all, one key a band of BAND minima, each under a permutation of its
+    own, 8 bits of each minimum, and a map of MAP bits with one bit set for each shingle."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     weights = rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,23 +214,26 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             raw = memoryview(raw)
             sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(bytes(raw[s:e]), k)])) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             least = np.full((len(sets), BANDS * BAND), (1 << 64) - 1, np.uint64)
+            bits = np.zeros((len(sets), MAP), bool)
             for i, some in enumerate(sets):
+                bits[i, mix(some) % np.uint64(MAP)] = True
                 for j in range(0, len(some), 1 << 12):
                     np.minimum(least[i], (factors[:, None] * some[j : j + (1 << 12)]).min(1), out=least[i])
             keys = mix((mix(least.reshape(-1, BANDS, BAND)) * weights).sum(2, dtype=np.uint64) + bands)
             n = np.array([len(x) for x in sets], np.int32)
             sig = (mix(least) >> np.uint64(56)).astype(np.uint8).reshape(-1).view(np.int64)
+            maps = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
             lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
             fps = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64)
             yield pa.record_batch(
-                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(np.full(len(sets), BANDS * BAND // 8), sig), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
-                ["doc_id", "fp", "n", "keys", "sig", "shingles"],
+                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(np.full(len(sets), BANDS * BAND // 8), sig), lists(np.full(len(sets), MAP // 64), maps), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
+                ["doc_id", "fp", "n", "keys", "sig", "map", "shingles"],
             )
-            del sets, least, keys
+            del sets, least, keys, bits
             release()
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, shingles array<bigint>")
+    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, map array<bigint>, shingles array<bigint>")
 
 
 def _bits_apart(similarity: float) -> int:
@@ -238,18 +244,29 @@ def _bits_apart(similarity: float) -> int:
     return int(4 * unequal + 5 * (2 * unequal + 16 * m * similarity * (1 - similarity)) ** 0.5)
 
 
+def _signed(signatures: DataFrame, x: str, *others) -> DataFrame:
+    """The sets as one side ``x`` of a pair: a column of its own for each word of signature and map."""
+    words = lambda name, short, n: [F.col(name)[i].alias(f"{short}{x}{i}") for i in range(n)]
+    return signatures.select(*others, F.col("fp").alias(x), F.col("n").alias(f"n{x}"), *words("sig", "g", BANDS * BAND // 8), *words("map", "m", MAP // 64))
+
+
 def _near(similarity: float):
-    """Whether sizes (na, nb) and signatures (ga, gb) let two sets be that similar."""
-    bits = sum((F.bit_count(F.get("ga", F.lit(i)).bitwiseXOR(F.get("gb", F.lit(i)))) for i in range(BANDS * BAND // 8)), F.lit(0))
-    return (F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-6) & (bits <= _bits_apart(similarity))
+    """Whether sizes, signatures and maps of the sides ``a`` and ``b`` let two sets be that similar.
+
+    Each bit that only one map has set stands for a shingle of that set at least that the other lacks,
+    so the maps bound how many can be shared: exactly but for shingles that meet in one bit. That tells
+    short texts apart that have a passage in common; it never rules out a link."""
+    differ = sum((F.bit_count(F.col(f"ga{i}").bitwiseXOR(F.col(f"gb{i}"))) for i in range(BANDS * BAND // 8)), F.lit(0))
+    lacks = lambda x, y: sum((F.bit_count(F.col(f"m{x}{i}").bitwiseAND(F.bitwise_not(F.col(f"m{y}{i}")))) for i in range(MAP // 64)), F.lit(0))
+    fits = lambda shared: shared * F.lit(1 + similarity) >= F.lit(similarity) * (F.col("na") + F.col("nb")) - 1e-6
+    return fits(F.least("na", "nb")) & (differ <= _bits_apart(similarity)) & fits(F.col("na") - lacks("a", "b")) & fits(F.col("nb") - lacks("b", "a"))
 
 
 def _alike(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` at least;
     shingles are read only for pairs whose sizes and signatures allow it."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sign = lambda x: signatures.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"))
-    both = materialize(pairs.join(sign("a"), "a").join(sign("b"), "b").where(_near(similarity)).select("a", "b"), "pairs")
+    both = materialize(pairs.join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b").where(_near(similarity)).select("a", "b"), "pairs")
     needed = both.select(F.col("a").alias("fp")).union(both.select("b")).distinct()
     used = materialize(sets.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     side = lambda x: used.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
@@ -270,8 +287,9 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     0.8 shares none with a probability of 3e-6. A signature of 8 bits of each minimum and the sizes
     rule pairs out before their shingles are read (a pair at 0.8 with a probability below 1e-5); every
     link is verified by counting. In a bucket, members are compared with its least and greatest
-    first; then the pairs that are not in one component yet are joined on the bucket, with sizes and
-    signatures as part of the join's condition, so a large group of copies needs no pairs within it.
+    first; then the pairs that are not in one component yet are joined on the bucket and on classes of
+    sizes, with sizes, signatures and maps as part of the join's condition, so a large group of copies
+    needs no pairs within it and one of unlike texts gives no rows.
 
     Wordless texts have equal, empty sets. Rows with a null doc_id are left out; a doc_id that occurs
     twice gives two rows. Extra columns are ignored; no rows give no rows.
@@ -280,7 +298,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     sets = materialize(shingle_sets(docs, k).where("doc_id is not null"), "shingles")
     each = materialize(sets.select("doc_id", "fp"), "fingerprints")
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    signatures = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig")), "signatures")
+    signatures = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("map").alias("map")), "signatures")
     keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
     buckets = materialize(keyed.join(ends, "key"), "buckets")
@@ -291,9 +309,13 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     discard(buckets)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = materialize(members.join(mixed, "key", "left_semi").join(signatures, "fp"), "mixed")
-    side = lambda x: left.select("key", F.col("fp").alias(x), F.col("c").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"g{x}"))
-    a, b = side("a"), side("b").withColumnRenamed("key", "other")
-    rest = a.join(b, (a["key"] == b["other"]) & (F.col("ca") < F.col("cb")) & _near(similarity)).select("a", "b")
+    # The greater set of a pair is of the lesser one's class of sizes or of the next.
+    width = -math.log(similarity) + 1e-6
+    sizes = F.floor(F.log(F.greatest("n", F.lit(1))) / width)
+    a = _signed(left, "a", "key", F.col("c").alias("ca"), sizes.alias("s"))
+    b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array(sizes, sizes - 1)).alias("t"))
+    once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    rest = a.join(b, (a["key"] == b["other"]) & (a["s"] == b["t"]) & (F.col("ca") != F.col("cb")) & once & _near(similarity)).select("a", "b")
     edges = edges.union(_alike(rest, signatures, sets, similarity))
     discard(left), discard(signatures)
     discard(members), discard(sets)
