@@ -245,8 +245,9 @@ def _bits_apart(similarity: float) -> int:
 
 
 def _signed(signatures: DataFrame, x: str, *others) -> DataFrame:
-    """The sets as one side ``x`` of a pair: a column of its own for each word of signature and map."""
-    words = lambda name, short, n: [F.col(name)[i].alias(f"{short}{x}{i}") for i in range(n)]
+    """The sets as one side ``x`` of a pair: a column of its own for each word of signature and map,
+    none of them nullable: code with checks for nulls would be too long for the JVM to compile."""
+    words = lambda name, short, n: [F.coalesce(F.col(name)[i], F.lit(0)).alias(f"{short}{x}{i}") for i in range(n)]
     return signatures.select(*others, F.col("fp").alias(x), F.col("n").alias(f"n{x}"), *words("sig", "g", BANDS * BAND // 8), *words("map", "m", MAP // 64))
 
 
