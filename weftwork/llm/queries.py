@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import automaton, bitslice, bpe, decontaminate, htmltext, runlength, simhash, toxicity, transducer, urlfilter
+from . import automaton, bitslice, bpe, curriculum, decontaminate, htmltext, interaction, negatives, runlength, simhash, toxicity, transducer, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,26 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton.repeated_passages(table(spark, sf_dir, "documents"), window=20).drop("spans")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = interaction.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return interaction.audit(rows, list("ABCDE")).drop("filter")
+
+
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of weight 1 fade from 1.5 times their weight to half of it, those of weight 3 grow from half
+    to 1.5 times, those of weight 2 stay as they are."""
+    weight = F.col("rank") % 3 + 1
+    knot = lambda t, x: F.struct(F.lit(float(t)).alias("t"), (x * weight).cast("double").alias("weight"))
+    tilt = (weight - 2) / 2.0
+    mixed = curriculum.mix(table(spark, sf_dir, "documents"), F.array(knot(0, 1 - tilt), knot(1, 1 + tilt)), weight)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 9).alias("position"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label).drop("positive_place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -86,6 +106,55 @@ SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_filter_audit": r"""
+        WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce("text", '') AS x FROM documents),
+        w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
+        f AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(x, '[^A-Z]+', '', 'g')) > 2 * length(x),
+                regexp_matches(x, '[#$%&*|]'), coalesce(doc_id > least, FALSE)] AS fails,
+              EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = w.doc_id AND toxic = 1) AS bad FROM w),
+        g AS (SELECT part, fails, good, bad, count(*) AS n FROM f GROUP BY ALL),
+        l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+        o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+        s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+        j AS (SELECT part, o, step, fails[o[step]] AS now, len(list_filter(o[1:step - 1], lambda k: fails[k])) > 0 AS before, len(list_filter(fails, lambda v: v)) AS total, good, bad, n FROM g, s),
+        r AS (SELECT part, list_aggregate(list_transform(o, lambda k: substr('ABCDE', k, 1)), 'string_agg', '') AS filter_order, step, o[step] AS own,
+                coalesce(sum(n) FILTER (NOT before AND NOT now), 0) AS kept, coalesce(sum(n) FILTER (NOT before AND now), 0) AS removed, coalesce(sum(n) FILTER (before AND now), 0) AS redundant,
+                coalesce(sum(n) FILTER (now AND total = 1), 0) AS unique_fails, coalesce(sum(n) FILTER (NOT before AND now AND good), 0) AS good_lost, coalesce(sum(n) FILTER (NOT before AND now AND bad), 0) AS toxic_lost
+              FROM j GROUP BY part, o, step)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+          CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM r
+    """,
+    "op12_curriculum": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all("text", '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS BIGINT) AS weight FROM d GROUP BY source),
+        -- Rounds: those above their bound stop there, the others share what is left by weight.
+        rounds AS (
+            SELECT 0 AS n, (SELECT sum(source_size) FROM s) AS have, (SELECT sum(weight) FROM s) AS free, CAST(-1 AS DOUBLE) AS before, CAST((SELECT sum(source_size) FROM s) AS DOUBLE) / (SELECT sum(weight) FROM s) AS rate
+            UNION ALL
+            SELECT n + 1, h, w, rate, CAST(h AS DOUBLE) / w FROM (
+                SELECT n, rate, (SELECT sum(source_size) FROM s) - coalesce((SELECT sum(3 * source_size) FROM s WHERE 3 * source_size <= rate * weight), 0) AS h,
+                       (SELECT sum(weight) FROM s WHERE 3 * source_size > rate * weight) AS w FROM rounds WHERE rate > before AND n < 1000)),
+        t AS (SELECT s.*, least(3.0::DOUBLE * source_size, weight * (SELECT max(rate) FROM rounds)) AS target FROM s),
+        p AS (SELECT doc_id, size, source_size, weight, target, CAST(round(target) AS BIGINT) AS demand,
+                CAST(coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS place
+              FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+        k AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE (demand // source_size) * size + greatest(0, least(demand % source_size - place, size)) END AS taken,
+                CAST(place AS DOUBLE) / demand * weight AS area, weight * (1 - (weight - 2) / 2.0::DOUBLE) AS w0, weight * (weight - 2.0::DOUBLE) AS slope FROM p)
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken,
+               CASE WHEN taken > 0 THEN round(CASE WHEN area > 0 THEN 2 * area / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * area, 0))) ELSE 0 END, 9) END AS position FROM k
+    """,
+    "op13_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+            FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.e, c.e) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank
+              FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 100 * s.score BETWEEN 80 * positive_score AND 100 * positive_score)
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+    """,
 }
 
 
