@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -43,11 +44,16 @@ ENDS = {
     "tfoot": ({"td", "th", "tr", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: A block does not end a paragraph outside of these; end tags of others than these stay within a cell.
+KEEPS_P = ("td", "th", "table", "caption", "button", "li", "div")
+ENDS_CELLS = frozenset("td th tr tbody thead tfoot table body html".split())
 NO_P = BLOCKS - {"html", "body", "option", "optgroup", "tr", "td", "th", "thead", "tbody", "tfoot", "caption", "textarea", "select"}
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?/][^>]*>?|[^<]+|<", re.S)
 QUOTE_OR_END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.S)
+#: What counts as a list's first number: of 300 digits too (Python reads up to 4,300).
+INTEGER = re.compile(r"[+-]?[0-9]{1,4000}")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 
@@ -82,37 +88,35 @@ def tag_end(html: str, at: int) -> int:
 def build(html: str) -> Node:
     """The tree of a page. A tag that the page ends in is dropped, as browsers do."""
     root = Node("", {})
-    stack, open_count, at, end = [root], {}, 0, len(html)
+    stack, at, end = [root], 0, len(html)
+    #: By tag, where its open elements are in the stack: nothing has to be looked for in the stack itself.
+    places: dict[str, list[int]] = {}
 
     def close(upto: int) -> None:
         for node in stack[upto:]:
-            open_count[node.tag] -= 1
+            places[node.tag].pop()
         del stack[upto:]
 
+    def top(tags) -> int:
+        """Where the innermost open element of some tags is; 0 if none is open."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def start(tag: str, found: dict[str, str]) -> None:
         ends, scope = ENDS.get(tag, ((), ()))
-        if any(open_count.get(x) for x in ends):
-            cut = len(stack)
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in ends:
-                    cut = i
-            close(cut)
-        if tag in NO_P and open_count.get("p"):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag in ("td", "th", "table", "caption", "button", "li", "div"):
-                    break
+        if ends:
+            above = top(scope)
+            cut = min((own[k] for t in ends if (own := places.get(t)) and (k := bisect_right(own, above)) < len(own)), default=0)
+            if cut:
+                close(cut)
+        if tag in NO_P and top("p") > top(KEEPS_P):
+            close(top("p"))
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             start("tr", {})
         node = Node(tag, found)
         stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
-            open_count[tag] = open_count.get(tag, 0) + 1
+            places.setdefault(tag, []).append(len(stack) - 1)
 
     while at < end:
         m = NAME.match(html, at)
@@ -130,13 +134,9 @@ def build(html: str) -> Node:
         inside, at = html[m.end() : stop], stop + 1
         tag = tag.lower()
         if m[1]:
-            if open_count.get(tag):
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        close(i)
-                        break
-                    if stack[i].tag in ("td", "th", "table") and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table", "body", "html"):
-                        break
+            if places.get(tag):
+                if tag in ENDS_CELLS or places[tag][-1] > top(("td", "th", "table")):
+                    close(places[tag][-1])
             elif tag == "p":  # an end without a start is an empty paragraph
                 stack[-1].children.append(Node("p", {}))
             continue
@@ -295,7 +295,7 @@ def render(root: Node) -> str:
                 tables.append(Table())
             elif tag in ("ul", "ol", "menu"):
                 first = node.attributes.get("start", "1")
-                lists.append([tag, int(first) if first.lstrip("-").isdigit() and first.isascii() and len(first) < 9 else 1])
+                lists.append([tag, int(first) if INTEGER.fullmatch(first) else 1])
             elif tag == "li":
                 mark = "- "
                 if lists and lists[-1][0] == "ol":

@@ -13,6 +13,7 @@ one fits the last token before it, that is, byte pair encoding of both gives the
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ HERE, BACK = 1, 2
 CHUNK = 128
 #: Prefixes that the second transducer keeps, and words.
 KEPT_STATES, KEPT_WORDS = 400_000, 400_000
+#: Words of more bytes than this are counted by states of their own, which are not kept.
+LONG_WORD = 4096
 
 
 def compile_words() -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +118,8 @@ class WordCounter:
     def __init__(self, vocabulary: Vocabulary):
         special = set(vocabulary.specials.values())
         self.ids = {t: i for i, t in enumerate(vocabulary.token_bytes) if i not in special}
-        self.longest = max(map(len, self.ids))
+        #: All ends of tokens: going back from a place in a word, where to stop.
+        self.ends = {t[i:] for t in self.ids for i in range(len(t))}
         self.size = [len(t) for t in vocabulary.token_bytes]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -160,6 +164,8 @@ class WordCounter:
                 return False
 
     def count(self, word: bytes) -> int:
+        if len(word) > LONG_WORD:
+            return self._count_long(word)
         step, state = self.step.get, 0
         for at, byte in enumerate(word):
             to = step(state << 8 | byte)
@@ -178,8 +184,10 @@ class WordCounter:
         while path[-1]:
             path.append(parent[path[-1]])
         path.reverse()
+        before = [last[p] for p in path]
         for end in range(at + 1, len(word) + 1):
-            token, start = self._token(word, end, path)
+            token, start = self._token(word, end, before)
+            before.append(token)
             to = len(last)
             last.append(token), tokens.append(tokens[path[start]] + 1), parent.append(state)
             self.step[state << 8 | word[end - 1]] = to
@@ -187,12 +195,26 @@ class WordCounter:
             path.append(to)
         return tokens[state]
 
-    def _token(self, word: bytes, end: int, path: list[int]) -> tuple[int, int]:
-        """(last token of the encoding of word[:end], where it starts)."""
-        ids = self.ids.get
-        for start in range(max(0, end - self.longest), end):
+    def _count_long(self, word: bytes) -> int:
+        """As ``count``, with the states of this word alone: they are not kept."""
+        last, tokens = [-1], [0]
+        for end in range(1, len(word) + 1):
+            token, start = self._token(word, end, last)
+            last.append(token)
+            tokens.append(tokens[start] + 1)
+        return tokens[-1]
+
+    def _token(self, word: bytes, end: int, last: list[int]) -> tuple[int, int]:
+        """(last token of the encoding of word[:end], where it starts); ``last``: those of shorter prefixes.
+        Going back from the end, what is no end of any token is not looked at."""
+        ids, ends, start, starts = self.ids.get, self.ends, end - 1, []
+        while start >= 0 and word[start:end] in ends:
+            if ids(word[start:end]) is not None:
+                starts.append(start)
+            start -= 1
+        for start in reversed(starts):
             token = ids(word[start:end])
-            if token is not None and self._whole(token) and (start == 0 or self.pair_fits(self.last[path[start]], token)):
+            if self._whole(token) and (start == 0 or self.pair_fits(last[start], token)):
                 return token, start
         raise ValueError("a byte is no token")
 
@@ -213,23 +235,24 @@ class TextCounter:
         self.flat_output = self.output.reshape(-1)
         self.table = class_table(vocabulary.classes)
         self.words = WordCounter(vocabulary)
-        self.specials = [s.encode() for s in sorted(vocabulary.specials, key=len, reverse=True)]
+        specials = sorted((s.encode() for s in vocabulary.specials if s), key=len, reverse=True)
+        self.specials = re.compile(b"|".join(map(re.escape, specials))) if specials else None
         self.known: dict[bytes, int] = {}
 
     def _segments(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(starts of stretches of plain or special text, which of them are special)."""
-        data, found = raw.tobytes(), []
-        for special in self.specials:
-            i = data.find(special)
-            while i >= 0:
-                row = int(np.searchsorted(at, i, "right")) - 1
-                if i + len(special) <= at[row + 1] and not any(a < i + len(special) and i < b for a, b in found):
-                    found.append((i, i + len(special)))
-                    i = data.find(special, i + len(special))
-                else:
-                    i = data.find(special, i + 1)
-        starts = np.unique(np.concatenate([at, np.array(found, np.int64).reshape(-1)]))
-        return starts, np.isin(starts[:-1], np.array([a for a, _ in found], np.int64))
+        """(starts of stretches of plain or special text, which of them are special): the leftmost special
+        string, of those that start there the longest, then from its end on; none across texts."""
+        found: list[int] = []
+        if self.specials:
+            data = raw.tobytes()
+            search = self.specials.search
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist()) if search(data) else ():
+                while m := search(data, i, j):
+                    i = m.end()
+                    found += m.span()
+        bounds = np.array(found, np.int64)
+        starts = np.unique(np.concatenate([at, bounds]))
+        return starts, np.isin(starts[:-1], bounds[::2])
 
     def counts(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Tokens of each text; ``at``: where the UTF-8 bytes of each start."""
