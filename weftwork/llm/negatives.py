@@ -79,7 +79,7 @@ class Cells:
             left.discard(order[-1])
         sums = np.cumsum(weight[order]) - weight[order]
         out = np.zeros(len(order), np.int64)
-        out[order] = sums * groups // max(1, int(weight.sum()))
+        out[order] = np.minimum(sums * groups // max(1, int(weight.sum())), groups - 1)
         return out
 
 
@@ -234,7 +234,10 @@ class Join:
         """(anchors, rows), both with (g, q, r): each pair of an anchor and a row whose score may be from ``low``
         to ``high`` (null: unbounded) meets in one group of the three. Anchors repeat by parts of rows, rows by
         the groups that they may serve."""
-        cells, n, groups = self.cells, self.n, self.groups
+        cells, n, groups = self.cells, self.n, self.groups + 1
+        # Anchors without a bound take any row: they are a group of their own, so that the others' bounds count.
+        unbound, blocks = low.isNull(), [*self.blocks, sum(self.blocks)]
+        anchors = anchors.withColumns({"group": F.when(unbound, self.groups).otherwise(F.col("group")), "block": F.when(unbound, F.pmod(F.xxhash64("id"), F.lit(blocks[-1])).cast("int")).otherwise(F.col("block"))})
 
         def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -256,12 +259,12 @@ class Join:
                 columns = [pa.array(g.astype(np.int32)), pa.array(j.astype(np.int32)), *[pa.array(np.ravel(b[some])) for b in (least, most, hole)]]
                 yield pa.RecordBatch.from_arrays(columns, names=["g", "j", "least", "most", "hole"])
 
-        # At most a row for each pair of pivots: a bounded table.
+        # At most a row for each pivot and group, of which there are no more than pivots and one: a bounded table.
         rings = anchors.select("group", "v", low.cast("double").alias("low"), high.cast("double").alias("high")).mapInArrow(bounds, "g int, j int, least double, most double, hole double")
         rings = rings.groupBy("g", "j").agg(F.min("least").alias("least"), F.max("most").alias("most"), F.min("hole").alias("hole"))
         gap, slack = F.col("gap"), F.lit(float(cells.slack))
         fits = (self.rows["cell"] == rings.j) & (gap >= rings.least - slack) & (gap <= rings.most + slack) & (gap >= rings.hole - slack)
-        cut = F.get(F.array(*map(F.lit, self.blocks)), F.col("g"))
+        cut = F.get(F.array(*map(F.lit, blocks)), F.col("g"))
         rows = self.rows.join(F.broadcast(rings), fits).select("g", F.explode(F.sequence(F.lit(0), cut - 1)).alias("q"), F.col("part").alias("r"), *[F.col(c).alias(c) for c in ("id", "label", "v")])
         spread = anchors.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(self.row_parts - 1)))).withColumnsRenamed({"group": "g", "block": "q"})
         return spread, rows
