@@ -50,10 +50,10 @@ def test_small_parts_and_cells(spark, monkeypatch):
     monkeypatch.setattr(negatives, "GROUPS", 6)
     monkeypatch.setattr(negatives, "PIVOTS", 10)
     monkeypatch.setattr(negatives, "ANCHOR_BYTES", 300)
-    monkeypatch.setattr(negatives, "ROW_BYTES", 4000)
+    monkeypatch.setattr(negatives, "ROW_BYTES", 10_000)
     monkeypatch.setattr(negatives, "ROWS", 16)
     monkeypatch.setattr(negatives, "ANCHORS", 3)
-    rows = random_rows(random.Random(5), 400, 6, 3, 0.02)
+    rows = [(i, [x / math.hypot(*e) for x in e], label) for i, e, label in random_rows(random.Random(5), 400, 6, 3, 0.02)]
     assert mined(spark, rows) == brute(rows, lambda i: i % 10 == 0)
     frame = spark.createDataFrame([(*r, "x", 1) for r in rows], VECTORS)
     join = negatives.Join(negatives.usable(frame, F.col("label"), 256), F.col("id") % 10 == 0)

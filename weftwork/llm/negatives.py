@@ -84,15 +84,20 @@ class Cells:
 
 
 def _pivots(rows: DataFrame, greatest: float, widest: int) -> Cells:
-    """A bounded sample of rows as pivots: any pivots give exact results. Twice as many rows as pivots are
-    taken, those of the least hash of their id, and of equal ones one is kept."""
+    """Pivots from a bounded sample of rows, those of the least hash of their id, each the farthest from the
+    ones before: any pivots give exact results, apart ones give tighter cells."""
     most = max(1, min(PIVOTS, PIVOT_BYTES // (8 * max(1, widest))))
-    some = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(2 * most).select("v").collect()]
-    distinct = list(dict.fromkeys(map(tuple, some)))[:most] or [()]
-    matrix = np.zeros((len(distinct), widest))
-    for i, v in enumerate(distinct):
+    some = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(4 * most).select("v").collect()] or [[]]
+    matrix = np.zeros((len(some), widest))
+    for i, v in enumerate(some):
         matrix[i, : len(v)] = v
-    return Cells(matrix, greatest)
+    chosen, gap = [0], np.full(len(some), np.inf)
+    while len(chosen) < most:
+        gap = np.minimum(gap, ((matrix - matrix[chosen[-1]]) ** 2).sum(1))
+        if not gap.max() > 0:
+            break
+        chosen.append(int(gap.argmax()))
+    return Cells(matrix[chosen], greatest)
 
 
 def _first(score: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
