@@ -14,6 +14,8 @@ from math import factorial
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: A word is a maximal run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,8 +79,8 @@ def audit(rows: DataFrame, filters: list[str], whole: bool = False) -> DataFrame
     spark, k = rows.sparkSession, len(filters)
     bit = {f: 1 << i for i, f in enumerate(filters)}
     every, together = (1 << k) - 1, "" if all(len(f) == 1 for f in filters) else ">"
-    counts = survivors(rows, filters)
-    counts = counts if whole else counts.where("part is not null")
+    # Read several times below: written once, a row a part and set.
+    counts = materialize(survivors(rows, filters) if whole else survivors(rows, filters).where("part is not null"), "survivors")
     # Each part has all 2**k sets; those that nothing survives count zero. All joins below are on sets.
     masks = counts.where("mask = 0").select(F.col("part").alias("p"), F.explode(F.sequence(F.lit(0), F.lit(every))).alias("m"))
     found = masks.join(counts, masks.p.eqNullSafe(counts.part) & (masks.m == counts["mask"]), "left")
