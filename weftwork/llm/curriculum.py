@@ -18,7 +18,7 @@ from .common import materialize
 #: A word is a maximal run of other characters than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source whose running sums one task has; repeated rows one generator call makes.
-BUCKET_ROWS, REPEAT_ROWS = 100_000, 10_000
+BUCKET_ROWS, REPEAT_ROWS = 10_000, 10_000
 
 
 def words(text: Column) -> Column:
