@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import paths, patterns
-from .operators import graph, incremental, reports, simulation
+from .operators import graph, history, incremental, ordering, reach, reports, rules, simulation
 from .plans import dsl
-from .sources import derived, parsers
+from .sources import derived, globs, parsers
 from .sources.derived import edges, nodes, profile, table, traces
 from .streaming import progress
 
@@ -422,6 +422,89 @@ def show_durations(spark, sf):
     return table(spark, sf, "events").select("event_id", paths.show_min_sec(F.floor("value")).alias("shown"))
 
 
+# -- rules, listings, history, reachability -------------------------------------------------------
+
+LANGUAGES = ["en", "fr", "de", "es"]
+
+
+def page_rules() -> rules.RuleSet:
+    """1,000 rules over pages: a language and the start of a number, each fifth for all below too; priorities
+    0, 1 and 2; every other hundred are alternatives."""
+    made = []
+    for i in range(1000):
+        pattern = f"//{LANGUAGES[i % 4]}/{i // 4}*" + ("//" if i % 5 == 0 else "")
+        made.append(rules.priority(i % 3, rules.rule(f"rule{i}", pattern)))
+    blocks = [made[b : b + 100] for b in range(0, 1000, 100)]
+    return rules.RuleSet(*[rules.alternatives(*block) if b % 2 else [r for rs in block for r in rs] for b, block in enumerate(blocks)])
+
+
+@query("""SELECT page_id, CAST(count(i) AS INTEGER) AS matching, CAST(count(*) FILTER (best) AS INTEGER) AS candidates, CASE WHEN count(*) FILTER (best) = 1 THEN 'rule' || max(i) FILTER (best) END AS rule
+FROM (SELECT *, coalesce(chosen AND i % 3 = max(i % 3) FILTER (chosen) OVER (PARTITION BY page_id), FALSE) AS best FROM
+  (SELECT page_id, i, (i // 100) % 2 = 0 OR i = min(i) OVER (PARTITION BY page_id, i // 100) AS chosen FROM p LEFT JOIN
+    (SELECT i, '/' || lang || '/' || n AS part, CASE WHEN i % 5 = 0 THEN '[^/]*(?:/.*)?$' ELSE '[^/]*$' END AS rest FROM
+      (SELECT i, ['en', 'fr', 'de', 'es'][i % 4 + 1] AS lang, i // 4 AS n FROM range(1000) t(i))) ON contains('/' || path, part) AND regexp_matches('/' || path, '^(?:.*)' || part || rest))) GROUP BY page_id""", PAGES)
+def rule_matching(spark, sf):
+    return rules.rules_of(pages(spark, sf), page_rules(), "path").select("page_id", "matching", "candidates", "rule")
+
+
+SHORT = """d AS (SELECT DISTINCT regexp_replace(path, '/+$', '') AS path FROM p), parts AS (SELECT DISTINCT split_part(path, '/', 1) AS host, split_part(path, '/', 2) AS lang FROM d)"""
+
+
+@query(r"""SELECT path, 'file' AS kind FROM d WHERE regexp_matches(path, '^[^/]*/en/[^/]*5[^/]*$') OR regexp_matches(path, '^blog\.[^/]*/(?:.*/)?[^/]*\.html$') OR regexp_matches(path, '^www\.[^/]*/de/7[^/]*$')
+UNION ALL SELECT '', 'listed' UNION ALL SELECT DISTINCT host, CASE WHEN host LIKE 'blog.%' THEN 'listed' ELSE 'probed' END FROM parts
+UNION ALL SELECT host || '/' || lang, 'listed' FROM parts WHERE lang = 'en' OR host LIKE 'blog.%' OR (host LIKE 'www.%' AND lang = 'de')""", PAGES, SHORT)
+def glob_walk(spark, sf):
+    """The pages as a tree of files: what some patterns find, and which directories they visit."""
+    paths = pages(spark, sf).select(F.regexp_replace("path", "/+$", "").alias("path"))
+    return globs.walk(spark, ["*/en/*5*", "blog.*//*.html", "www.*/de/7*"], globs.entry_table(globs.tree_of(paths)))
+
+
+FACTS = """e AS (SELECT (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS entry, l_partkey AS key, l_linenumber % 2 AS builtin, CASE WHEN l_quantity > 25 THEN 1 ELSE 0 END AS own, l_returnflag AS flag, l_linestatus AS status, CAST(round(l_discount * 100) AS BIGINT) AS discount, l_linenumber > 1 AS more FROM lineitem
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey ORDER BY l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_linestatus, l_discount) = 1),
+k AS (SELECT p_partkey AS key, p_size % 2 AS builtin, (p_size // 2) % 2 AS own, ['A', 'N', 'R'][p_partkey % 3 + 1] AS flag, ['F', 'O'][p_size % 2 + 1] AS status, (p_partkey + length(p_name)) % 11 AS discount FROM part)"""
+
+
+@query("""SELECT CAST(k.key AS VARCHAR) AS key, CAST(k.builtin AS INTEGER) AS builtin_version, CAST(k.own AS INTEGER) AS user_version, CAST(entry AS BIGINT) AS entry, 'r' || entry AS result FROM k JOIN e ON e.key = k.key AND e.builtin = k.builtin AND e.own = k.own AND e.flag = k.flag AND e.status = k.status AND (NOT more OR e.discount = k.discount)
+QUALIFY row_number() OVER (PARTITION BY k.key ORDER BY more, entry) = 1""", FACTS)
+def history_lookup(spark, sf):
+    """Lines (each once) as results of parts, made from the part's flag and status, then (but for first lines) from a
+    discount that the flag decides which to ask for; parts ask for a result of now."""
+    c, cat = F.col, lambda *x: F.concat_ws("/", F.lit(x[0]), *[F.col(y).cast("string") for y in x[1:]])
+    number = ((c("l_orderkey") * 8 + c("l_linenumber")) * 1000000 + c("l_partkey")).cast("bigint")
+    entry = number.alias("entry")
+    keys, rest = ["l_orderkey", "l_linenumber", "l_partkey"], ["l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_discount"]
+    lines = table(spark, sf, "lineitem").groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r")).select(*keys, "r.*")  # a line once
+    entries = lines.select(entry, c("l_partkey").cast("string").alias("key"), F.lit(1).alias("global_version"), (c("l_linenumber") % 2).cast("int").alias("builtin_version"),
+        F.when(c("l_quantity") > 25, 1).otherwise(0).alias("user_version"), F.concat(F.lit("r"), number.cast("string")).alias("result"))
+    dep = lambda g, p, d, i: F.struct(F.lit(g).alias("group_no"), F.lit(p).alias("pos"), d.alias("dep"), i.cast("string").alias("identity"))
+    first = [dep(0, 0, cat("flag", "l_partkey"), c("l_returnflag")), dep(0, 1, cat("status", "l_partkey"), c("l_linestatus"))]
+    later = dep(1, 0, cat("discount", "l_partkey", "l_returnflag"), F.round(c("l_discount") * 100).cast("bigint"))
+    deps = lines.select(entry, F.explode(F.when(c("l_linenumber") > 1, F.array(*first, later)).otherwise(F.array(*first))).alias("d")).select("entry", "d.*")
+    part = table(spark, sf, "part").withColumn("flag", F.get(F.array(*map(F.lit, "ANR")), (c("p_partkey") % 3).cast("int")))
+    state = lambda key, value: F.struct(key.alias("key"), value.cast("string").alias("identity"))
+    now = F.array(state(cat("flag", "p_partkey"), c("flag")), state(cat("status", "p_partkey"), F.get(F.array(F.lit("F"), F.lit("O")), (c("p_size") % 2).cast("int"))), state(cat("discount", "p_partkey", "flag"), (c("p_partkey") + F.length("p_name")) % 11))
+    current = part.select(F.explode(now).alias("s")).select("s.*")
+    wanted = part.select(c("p_partkey").cast("string").alias("key"), F.lit(1).alias("global_version"), (c("p_size") % 2).cast("int").alias("builtin_version"), (F.floor(c("p_size") / 2) % 2).cast("int").alias("user_version"))
+    return history.lookup(wanted, history.tree(entries, deps), current, history.filters(entries, deps)).drop("global_version")
+
+
+@query(f"""SELECT DISTINCT src, dst FROM (SELECT {5 * o.K} + l_orderkey AS src, {1 * o.K} + l_partkey % 25 AS dst FROM lineitem) u
+WHERE NOT EXISTS (SELECT 1 FROM edges a JOIN edges b ON b.src = a.dst WHERE a.src = u.src AND b.dst = u.dst)""", o.EDGES)
+def dep_validation(spark, sf):
+    """Orders that were found to use nations and regions: regions are sources, nations are made, so they have
+    to be behind the order."""
+    e = edges(spark, sf)
+    lines = table(spark, sf, "lineitem").select(derived.index(5, F.col("l_orderkey")).alias("src"), F.explode(F.array(derived.index(1, F.col("l_partkey") % 25), derived.index(0, F.col("l_partkey") % 5))).alias("dst"))
+    return reach.not_declared(lines, e, reach.labels(nodes(spark, sf), e))
+
+
+@query("""SELECT "index", CAST(row_number() OVER (ORDER BY level, "index") - 1 AS BIGINT) AS position FROM levels""", o.NODES, o.LEVELS)
+def dependency_order(spark, sf):
+    """Dense numbers of all nodes, each after all that it depends on."""
+    ranked = graph.levels(nodes(spark, sf), edges(spark, sf))
+    return ordering.numbered(ranked, [F.col("level"), F.col("index")]).select("index", "position")
+
+
 # -- sequential algorithms: no SQL; tests hold them against golden values ------------------------
 
 def regional(spark, sf) -> DataFrame:
