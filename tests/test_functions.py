@@ -52,3 +52,26 @@ def test_normalise(spark):
 def test_text(spark):
     assert one(spark, paths.show_time(F.lit(1.5))) == "1.50s" and one(spark, paths.show_time(F.lit(62.0))) == "1m02s" and one(spark, paths.show_time(F.lit(3720.0))) == "1h02m"
     assert one(spark, paths.uri_parameters(F.lit("?a=1&b=%20x&a=2"))) == {"a": "2", "b": " x"}
+
+
+def test_relative_paths(spark):
+    rows = [("/x/y/", "/x/y/z", "z"), ("/w/c", "../b/file.out", "../b/file.out"), ("a", "b/file.out", "b/file.out"), ("/w/a", "/w/b/file.out", "../b/file.out"), ("/", "/a/b", "a/b"), ("/a/b", "/", "../.."), ("/a/b", "/a/b", "."), ("a", "/b", None), ("/a/./b/../c", "/a//d", "../d")]
+    frame = spark.createDataFrame(rows, "base string, path string, want string")
+    got = frame.select("want", paths.make_relative(F.col("base"), F.col("path")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_shown_numbers(spark):
+    show = lambda f, x: one(spark, f(F.lit(x)))
+    assert [show(paths.show_percent, x) for x in (0.5, 0.12345, 1.0)] == ["50.00%", "12.35%", "100.00%"]
+    assert [show(paths.show_int, x) for x in (0, 999, 1000, 1234567)] == ["0", "999", "1,000", "1,234,567"]
+    assert [show(paths.show_run, x) for x in (0, 1, 2)] == ["Latest run", "1 run ago", "2 runs ago"]
+    assert [show(paths.show_duration_secs, x) for x in (0.4, 4.6, 2.5, 65.2, 3720.0)] == ["0s", "5s", "2s", "1m05s", "1h02m"]
+    assert show(paths.trim, " \t a b\n") == "a b"
+
+
+def test_abbreviations(spark):
+    short = [("ab", "1"), ("abc", "2"), ("bc", "3"), ("", "x"), ("ab", "9"), ("c.d*", "4"), ("1", "ab")]
+    show = lambda x: one(spark, paths.abbreviate(F.lit(x), short))
+    assert [show(x) for x in ("abcab", "aab", "c.d*c.dd", "", "b1a", "\nab\n")] == ["21", "a1", "4c.dd", "", "baba", "\n1\n"]
+    assert one(spark, paths.abbreviate(F.lit("ab"), [])) == "ab"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -90,3 +92,59 @@ def uri_parameters(query: Column) -> Column:
 def quote(text: Column) -> Column:
     """Double quotes around a text that holds a space."""
     return F.when(F.contains(text, F.lit(" ")), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text)
+
+
+def make_relative(base: Column, path: Column) -> Column:
+    """``path`` as seen from the directory ``base``; a relative path stays as it is, and of a relative base
+    an absolute path has none (null). Links are not followed."""
+    parts = lambda x: F.filter(F.split(normalise(x), "/"), lambda p: (p != "") & (p != "."))
+    a, b = parts(base), parts(path)
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    common = F.when(F.array_position(same, False) > 0, F.array_position(same, False).cast("int") - 1).otherwise(F.least(F.size(a), F.size(b)))
+    up = F.array_repeat(F.lit(".."), F.size(a) - common)
+    found = F.array_join(F.concat(up, F.slice(b, common + 1, F.greatest(F.lit(0), F.size(b) - common))), "/")
+    return F.when(~path.startswith("/"), path).when(base.startswith("/"), F.when(found == "", ".").otherwise(found))
+
+
+def show_percent(share: Column) -> Column:
+    return F.format_string("%.2f%%", share.cast("double") * 100)
+
+
+def show_int(number: Column) -> Column:
+    """Digits in groups of three."""
+    return F.format_number(number, 0)
+
+
+def plural(number: Column, many: str = "s", one: str = "") -> Column:
+    return F.when(number == 1, one).otherwise(many)
+
+
+def show_run(run: Column) -> Column:
+    """How long ago a run was: 0 is the latest."""
+    return F.when(run == 0, "Latest run").otherwise(F.concat(run.cast("string"), F.lit(" run"), plural(run), F.lit(" ago")))
+
+
+def show_duration_secs(seconds: Column) -> Column:
+    """Whole seconds, halves to the even one: 5s, 1m05s, 1h02m."""
+    return F.regexp_replace(show_time(F.bround(seconds.cast("double"))), r"\.00s$", "s")
+
+
+def trim(text: Column) -> Column:
+    """Without white space around it."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def abbreviate(text: Column, short: list[tuple[str, str]]) -> Column:
+    """``text`` with each of some strings replaced, from left to right; where several start, the longest (of
+    equal ones the first given); what was put in is not looked at again. One expression: the text is cut
+    into such strings and what lies between, and each string looked up."""
+    table = {}
+    for full, brief in short:
+        if full:
+            table.setdefault(full, brief)
+    if not table:
+        return text
+    names = "|".join(re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", x) for x in sorted(table, key=len, reverse=True))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?:{names})|(?:(?!{names})[\s\S])+"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(known, p), p)), "")

@@ -1,8 +1,9 @@
 """Operators over dependency graphs; edges are (src, group_no, dst): src depends on dst.
 
-Iterations advance a frontier by one level a round and write each round to the session's shared
-checkpoint folder, so plans stay short and lost executors cost one round. The number of rounds is
-the depth of the graph.
+Iterations write each round to the session's shared checkpoint folder, so plans stay short and lost
+executors cost one round. Levels and paths first shorten chains: a node with one dependency points to
+it, and pointers double their reach each round; what is left are rounds over the depth of nodes with several
+dependencies. Closure and liveness advance a frontier by one level a round.
 """
 
 from __future__ import annotations
@@ -39,30 +40,73 @@ class CycleError(ValueError):
         self.some = some
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(index, level): 0 without dependencies, else 1 + the greatest level of any dependency.
-    Raises CycleError for graphs that are not acyclic."""
-    waiting = _cut(edges.select("src", "dst").distinct())
-    left = _cut(waiting.select(F.col("src").alias("index")).distinct())
-    ready = _cut(nodes.select("index").join(left, "index", "left_anti").withColumn("level", F.lit(0)))
-    done = [ready]
-    while not left.isEmpty():
-        waiting = _cut(waiting.join(ready.select(F.col("index").alias("dst")), "dst", "left_anti"))
+def _chains(weights: DataFrame, pairs: DataFrame, nodes: int) -> DataFrame:
+    """(index, to, sum) of the nodes with one dependency: where the chain of such nodes ends, and the weights of
+    its nodes up to there."""
+    single = pairs.groupBy(F.col("src").alias("index")).agg(F.min("dst").alias("to"), F.count("*").alias("n")).where("n = 1")
+    now, reach = _cut(single.join(weights, "index").select("index", "to", F.col("w").alias("sum"))), 1
+    while True:
+        further = now.select(F.col("index").alias("to"), F.col("to").alias("next"), F.col("sum").alias("more"))
+        moved = _cut(now.join(further, "to", "left"))
+        open_ = moved.where("next is not null")
+        if open_.isEmpty():
+            return now
+        if reach > nodes:
+            raise CycleError([r["index"] for r in open_.limit(10).collect()])
+        now, reach = _cut(moved.select("index", F.coalesce("next", "to").alias("to"), (F.col("sum") + F.coalesce("more", F.lit(0))).alias("sum"))), reach * 2
+
+
+def longest(weights: DataFrame, edges: DataFrame) -> DataFrame:
+    """(index, value): the weight of each node and the greatest value of its dependencies. ``weights``: (index, w)
+    of all nodes that edges name. Raises CycleError for graphs that are not acyclic."""
+    pairs = _cut(edges.select("src", "dst").distinct())
+    weights = _cut(weights.select("index", "w"))
+    chains = _chains(weights, pairs, weights.count())
+    ends = chains.select(F.col("index").alias("dst"), "to", "sum")
+    # Nodes with several dependencies, and where the chains that begin at those end.
+    branching = pairs.groupBy("src").agg(F.count("*").alias("n")).where("n > 1").select("src")
+    shortened = pairs.join(branching, "src", "left_semi").join(ends, "dst", "left")
+    waiting = _cut(shortened.groupBy("src", F.coalesce("to", "dst").alias("at")).agg(F.max(F.coalesce("sum", F.lit(0))).alias("sum")))
+    leaves = weights.join(pairs.select(F.col("src").alias("index")).distinct(), "index", "left_anti")
+    ready = _cut(leaves.select("index", F.col("w").alias("value")))
+    done, some = [ready], None
+    while not waiting.isEmpty():
+        met = waiting.join(ready.withColumnsRenamed({"index": "at"}), "at", "left")
+        arrived = met.where("value is not null").select(F.col("src").alias("index"), (F.col("sum") + F.col("value")).alias("value"))
+        best = _cut((arrived if some is None else some.union(arrived)).groupBy("index").agg(F.max("value").alias("value")))
+        waiting = _cut(met.where("value is null").select("src", "at", "sum"))
         still = waiting.select(F.col("src").alias("index")).distinct()
-        ready = _cut(left.join(still, "index", "left_anti").withColumn("level", F.lit(len(done))))
+        ready = _cut(best.join(still, "index", "left_anti").join(weights, "index").select("index", (F.col("value") + F.col("w")).alias("value")))
         if ready.isEmpty():
-            raise CycleError([r["index"] for r in left.limit(10).collect()])
+            raise CycleError([r["index"] for r in still.limit(10).collect()])
+        some = best.join(still, "index", "left_semi")
         done.append(ready)
-        left = _cut(still)
-    return _union(done)
+    known = _union(done)
+    return known.union(chains.join(known.select(F.col("index").alias("to"), "value"), "to").select("index", F.col("sum") + F.col("value")))
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(index, level): 0 without dependencies, else 1 + the greatest level of any dependency.
+    Raises CycleError for graphs that are not acyclic."""
+    users = edges.select(F.col("src").alias("index")).distinct().withColumn("w", F.lit(1))
+    every = nodes.select("index").union(edges.select("dst")).distinct().join(users, "index", "full_outer")
+    return longest(every.select("index", F.coalesce("w", F.lit(0)).alias("w")), edges).select("index", F.col("value").cast("int").alias("level"))
+
+
+#: Up to this depth critical paths take a round a level, which adds seconds from the leaves up.
+ROUNDS = 32
 
 
 def critical_path(nodes: DataFrame, edges: DataFrame, ranked: DataFrame) -> DataFrame:
     """(index, level, path): seconds of the longest chain of dependencies that ends with each node,
-    groups left aside. ``ranked``: what ``levels`` gives."""
+    groups left aside. ``ranked``: what ``levels`` gives. In deep graphs seconds are added up by chains, in
+    another order, so the last digit may differ from an addition from the leaves up."""
+    deepest = ranked.agg(F.max("level")).first()[0] or 0
+    if deepest > ROUNDS:
+        paths = longest(nodes.select("index", F.col("execution").alias("w")), edges)
+        return ranked.join(paths, "index").select("index", "level", F.col("value").alias("path"))
     rows = _cut(nodes.select("index", "execution").join(ranked, "index"))
     pairs = _cut(edges.select("src", "dst").distinct().join(rows.select(F.col("index").alias("src"), "level"), "src"))
-    deepest = rows.agg(F.max("level")).first()[0] or 0
     done = [_cut(rows.where("level = 0").select("index", "level", F.col("execution").alias("path")))]
     for level in range(1, deepest + 1):
         paths = _union(done).select(F.col("index").alias("dst"), "path")
@@ -97,13 +141,19 @@ def live(roots: DataFrame, edges: DataFrame) -> DataFrame:
 
 def deepest_chain(edges: DataFrame, ranked: DataFrame, start: int) -> list[int]:
     """The chain from ``start`` to a leaf that always takes the deepest dependency, the least index
-    of equal ones. Its length is the depth of the graph."""
-    chain, pairs = [start], edges.select("src", "dst").distinct()
+    of equal ones. Its length is the depth of the graph: all that comes to the driver. Steps double."""
+    rank = ranked.select(F.col("index").alias("dst"), "level")
+    deepest = F.max_by("dst", F.struct("level", -F.col("dst")))
+    step = _cut(edges.select("src", "dst").distinct().join(rank, "dst").groupBy("src").agg(deepest.alias("to")))
+    seen = _cut(ranked.where(F.col("index") == start).select("index"))
     while True:
-        next_ = pairs.where(F.col("src") == chain[-1]).join(ranked.withColumnRenamed("index", "dst"), "dst").orderBy(F.col("level").desc(), "dst").first()
-        if next_ is None:
-            return chain
-        chain.append(next_["dst"])
+        moved = _cut(seen.join(step, seen["index"] == step.src).select(F.col("to").alias("index")))
+        if moved.isEmpty():
+            break
+        seen = _cut(seen.union(moved))
+        far = step.select(F.col("src").alias("to"), F.col("to").alias("next"))
+        step = _cut(step.join(far, "to").select("src", F.col("next").alias("to")))
+    return [r["index"] for r in ranked.join(seen, "index", "left_semi").orderBy(F.col("level").desc()).collect()]
 
 
 def flatten_depends(lists: DataFrame) -> DataFrame:

@@ -151,3 +151,16 @@ def exclusive_time(starts: DataFrame, key: str) -> DataFrame:
     wtime = F.col("gap") + F.greatest(F.lit(0.0), F.col("end") - F.greatest(F.col("start"), F.coalesce("last", F.col("start"))))
     etime = F.when(F.col("execution") == 0, 0.0).otherwise(F.col("execution") * F.col("execution") / F.nullif(F.col("execution") + F.col("shared"), F.lit(0.0)))
     return total.select(key, "index", F.coalesce(etime, F.lit(0.0)).alias("etime"), wtime.alias("wtime"))
+
+
+def results_only(profile: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``profile`` whose index ``kept`` has, and of their ordered groups of dependencies only such
+    indices, in place; groups that become empty close up. Dependencies are taken apart once, and put
+    together in one shuffle by their row."""
+    rows = profile.join(kept.select("index"), "index", "left_semi")
+    groups = rows.select(F.col("index").alias("src"), F.posexplode("depends").alias("group_no", "g"))
+    each = groups.select("src", "group_no", F.posexplode("g").alias("pos", "dst")).join(kept.select(F.col("index").alias("dst")), "dst", "left_semi")
+    one = each.repartition("src").groupBy("src", "group_no").agg(F.array_sort(F.collect_list(F.struct("pos", "dst"))).alias("g"))
+    all_ = one.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("group_no", "g"))).alias("gs"))
+    lists = all_.select(F.col("src").alias("index"), F.transform("gs", lambda x: F.transform(x["g"], lambda y: y["dst"])).alias("depends"))
+    return rows.drop("depends").join(lists, "index", "left").withColumn("depends", F.coalesce("depends", F.array().cast("array<array<bigint>>"))).select(*profile.columns)

@@ -505,6 +505,25 @@ def dependency_order(spark, sf):
     return ordering.numbered(ranked, [F.col("level"), F.col("index")]).select("index", "position")
 
 
+@query("""SELECT a."index", coalesce((SELECT string_agg(g, ';' ORDER BY group_no) FROM (SELECT group_no, string_agg(dst, ',' ORDER BY dst) AS g FROM edges JOIN kept k ON k."index" = dst WHERE src = a."index" GROUP BY group_no)), '') AS depends FROM kept a""",
+o.NODES, o.EDGES, """kept AS (SELECT "index" FROM nodes WHERE kind <> 'nation' AND NOT (kind = 'part' AND built = 4))""")
+def results_only(spark, sf):
+    """The profile without nations, which stand for a kind that is left out, and without parts that have no
+    result."""
+    kept = nodes(spark, sf).where("kind <> 'nation' and not (kind = 'part' and built = 4)")
+    rows = reports.results_only(profile(spark, sf).select("index", "depends"), kept)
+    return rows.select("index", F.array_join(F.transform("depends", lambda g: F.array_join(g.cast("array<string>"), ",")), ";").alias("depends"))
+
+
+SHORT_NAMES = [("https://www.", "$W/"), ("https://", "$S/"), ("http://", "$H/"), ("http", "$h"), (".example", "$E"), (".example.com/en", "$EN"), (".example.com", "$C"), ("/en/", "/$e/"), ("?page=2&ref=x", "?p"), ("#top", "^")]
+
+
+@query("""SELECT page_id, list_aggregate(list_transform(regexp_extract_all(url, '\\.example\\.com/en|\\?page=2&ref=x|\\.example\\.com|https://www\\.|\\.example|https://|http://|http|/en/|#top|[^a]|a'),
+  lambda p: coalesce(map_extract(map {%s}, p)[1], p)), 'string_agg', '') AS short FROM pages""".replace("\\\\", "\\") % ", ".join(f"'{a}': '{b}'" for a, b in SHORT_NAMES))
+def abbreviations(spark, sf):
+    return table(spark, sf, "pages").select("page_id", paths.abbreviate(F.col("url"), SHORT_NAMES).alias("short"))
+
+
 # -- sequential algorithms: no SQL; tests hold them against golden values ------------------------
 
 def regional(spark, sf) -> DataFrame:
