@@ -310,11 +310,12 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     discard(buckets)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = materialize(members.join(mixed, "key", "left_semi").join(signatures, "fp"), "mixed")
-    # The greater set of a pair is of the lesser one's class of sizes or of the next.
-    width = -math.log(similarity) + 1e-6
-    sizes = F.floor(F.log(F.greatest("n", F.lit(1))) / width)
-    a = _signed(left, "a", "key", F.col("c").alias("ca"), sizes.alias("s"))
-    b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array(sizes, sizes - 1)).alias("t"))
+    # The lesser set of a pair has the greater one's size times the similarity at least: it is of the same class
+    # of sizes, or of the next where such a range goes over the border of classes, one time in three.
+    width = -3 * math.log(similarity) + 1e-6
+    sizes = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / width)
+    a = _signed(left, "a", "key", F.col("c").alias("ca"), sizes(F.col("n")).alias("s"))
+    b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array_distinct(F.array(sizes(F.col("n")), sizes(F.col("n") * (similarity - 1e-9))))).alias("t"))
     once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     rest = a.join(b, (a["key"] == b["other"]) & (a["s"] == b["t"]) & (F.col("ca") != F.col("cb")) & once & _near(similarity)).select("a", "b")
     edges = edges.union(_alike(rest, signatures, sets, similarity))
