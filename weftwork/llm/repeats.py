@@ -30,6 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,8 +45,10 @@ PART_BYTES, MOST_PARTS = 64 << 20, 32768
 #: An anchor with more different contexts than HOT has its pieces split: STEP windows at a time, keyed
 #: by the symbols that these windows have in common.
 HOT, STEP = 256, 4
-#: Text bytes of the sample that frequent anchors are looked for in, and how often they are in it.
-SAMPLE_BYTES, FREQUENT = 32 << 20, 16
+#: Text bytes of the sample that frequent anchors are looked for in, the least share of the corpus that it is
+#: (one document in so many), and how often frequent ones are in it. By the share, an anchor of some million
+#: rows is in the sample of a corpus of any size, and those found are at most one in FREQUENT of its units.
+SAMPLE_BYTES, SAMPLE_EVERY, FREQUENT = 32 << 20, 250_000, 16
 #: Bytes of pieces that a matcher is given at a time; one anchor's pieces stay together.
 MATCH_BYTES = 4 << 20
 #: Rows with the same doc_id are told apart by this bit onwards of a position.
@@ -202,9 +205,9 @@ NAMES = [c.split()[0] for c in UNITS.split(", ")]
 
 
 def _frequent(rows: DataFrame, plan: Plan, total: int) -> np.ndarray:
-    """Sorted hashes of the anchors that a sample of about SAMPLE_BYTES has FREQUENT times or more:
-    a bounded hint of how to deal rows."""
-    every = max(1, total // SAMPLE_BYTES)
+    """Sorted hashes of the anchors that a sample of about SAMPLE_BYTES, or one document in SAMPLE_EVERY,
+    has FREQUENT times or more: a hint of how to deal rows."""
+    every = max(1, min(total // SAMPLE_BYTES, SAMPLE_EVERY))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches, 2):
@@ -320,7 +323,8 @@ def _pieces(plan: Plan) -> Callable:
 
 
 def _match(plan: Plan, matcher: Callable) -> Callable:
-    """Batches of (key, done, doc, start, n, more, symbols), sorted by key, to rows of MARKS."""
+    """Batches of (key, done, doc, start, n, more, symbols), sorted by key, to rows of MARKS. What is done
+    goes on at once; only pieces with symbols are held until their key ends, and of equal ones there is one."""
 
     def marks(t: pa.Table) -> pa.RecordBatch | None:
         done, doc, start, n = (_long(t.column(i)) for i in (1, 2, 3, 4))
@@ -351,6 +355,12 @@ def _match(plan: Plan, matcher: Callable) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, limit = [], 0, MATCH_BYTES
         for batch in batches:
+            done = batch.column(1)
+            if pc.any(pc.equal(done, 1)).as_py():
+                yield from _cut(marks(pa.Table.from_batches([batch.filter(pc.equal(done, 1))])))
+                batch = batch.filter(pc.equal(done, 0))
+            if not batch.num_rows:
+                continue
             held.append(batch)
             size += batch.nbytes
             if size >= limit:
