@@ -10,21 +10,30 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder; only where none is set and the
+    master is local (tests), a folder of this machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{os.path.join(tempfile.gettempdir(), 'weftwork-graph')}"
+
+
 def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of ``df`` in the shared folder; a local one only where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not own and not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(own or f"file://{os.path.join(tempfile.gettempdir(), 'weftwork-graph')}")
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read back: its lineage is cut, and its size is known to what
+    is planned with it (a checkpoint would carry estimates on, which grow with every round)."""
+    path = f"{_folder(df.sparkSession)}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
