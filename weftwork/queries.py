@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import oracle as o
 from .functions import paths, patterns
-from .operators import demand, graph, history, incremental, ordering, reach, reports, rules, simulation
+from .operators import aliases, demand, graph, history, incremental, ordering, reach, reports, rules, simulation
 from .plans import dsl
 from .sources import derived, globs, parsers
 from .sources.derived import edges, nodes, profile, table, traces
@@ -518,6 +518,16 @@ def results_only(spark, sf):
     return rows.select("index", F.array_join(F.transform("depends", lambda g: F.array_join(g.cast("array<string>"), ",")), ";").alias("depends"))
 
 
+@query(f"""WITH RECURSIVE {o.EDGES}, c AS (SELECT src AS id, dst AS name FROM edges WHERE src >= {5 * o.K} UNION ALL SELECT c.id, e.dst FROM c JOIN edges e ON e.src = c.name)
+SELECT id, name, count(*) AS times FROM c WHERE name NOT IN (SELECT src FROM edges) GROUP BY id, name""")
+def alias_expansion(spark, sf):
+    """What orders come to if all that is made from something stands for that: how often for each source."""
+    e = edges(spark, sf)
+    known = e.where(F.col("src") < 5 * derived.KIND).select(F.col("src").alias("name"), F.col("group_no").alias("pos"), F.col("dst").alias("dep"))
+    wanted = e.where(F.col("src") >= 5 * derived.KIND).select(F.col("src").alias("id"), F.col("group_no").alias("pos"), F.col("dst").alias("name"))
+    return aliases.expanded(wanted, known).groupBy("id", "name").agg(F.count("*").alias("times"))
+
+
 SHORT_NAMES = [("https://www.", "$W/"), ("https://", "$S/"), ("http://", "$H/"), ("http", "$h"), (".example", "$E"), (".example.com/en", "$EN"), (".example.com", "$C"), ("/en/", "/$e/"), ("?page=2&ref=x", "?p"), ("#top", "^")]
 
 
