@@ -38,8 +38,9 @@ def r(x, digits: int = 3):
 NAMED = """SELECT "index", name, name AS "group" FROM nodes n WHERE """
 
 
-def found(spark, sf, match) -> DataFrame:
-    return dsl.search(profile(spark, sf), match).select("index", "name", "group")
+def found(spark, sf, match, nested: bool = False) -> DataFrame:
+    """Rows that match; dependencies and traces are put together only for filters that read them."""
+    return dsl.search((profile if nested else nodes)(spark, sf), match).select("index", "name", "group")
 
 
 @query(NAMED + "contains(name, 'er/1')", o.NODES)
@@ -59,12 +60,12 @@ def filter_named_default_group(spark, sf):
 
 @query(f"""SELECT "index", name, regexp_extract({o.FIRST}, '^(c.)', 1) AS "group" FROM nodes n WHERE {o.FIRST} IS NOT NULL""", o.NODES, o.TRACES)
 def filter_command_group(spark, sf):
-    return found(spark, sf, dsl.command(dsl.Regex("^(c.)")))
+    return found(spark, sf, dsl.command(dsl.Regex("^(c.)")), nested=True)
 
 
 @query(NAMED + f"NOT {o.HAS_DEPS}", o.NODES, o.EDGES)
 def filter_leaf(spark, sf):
-    return found(spark, sf, dsl.leaf())
+    return found(spark, sf, dsl.leaf(), nested=True)
 
 
 @query(NAMED + "built = 0", o.NODES)
@@ -280,7 +281,7 @@ def results(spark, sf) -> DataFrame:
 
 @query("SELECT DISTINCT me.id FROM results me JOIN edges ON src = me.id JOIN results d ON d.id = dst WHERE d.changed > me.built", o.NODES, o.EDGES, RESULTS)
 def dirty_semi(spark, sf):
-    return incremental.dirty(results(spark, sf), edges(spark, sf))
+    return incremental.dirty(results(spark, sf), edges(spark, sf, distinct=False))  # a semi join: repeats cost less than finding them
 
 
 @query("SELECT src, dst FROM edges JOIN results d ON d.id = dst LEFT JOIN results me ON me.id = src AND me.built > 60 WHERE me.id IS NULL OR d.changed > me.built", o.NODES, o.EDGES, RESULTS)

@@ -56,13 +56,15 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src depends on dst: src, group_no (groups run one after another), dst; each pair once a group."""
+def edges(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """src depends on dst: src, group_no (groups run one after another), dst; each pair once a group, unless
+    ``distinct`` is False."""
     t = lambda name: table(spark, sf_dir, name)
 
     def part(df: DataFrame, src, group_no: int, dst) -> DataFrame:
         return df.select(src.alias("src"), F.lit(group_no).alias("group_no"), dst.alias("dst"))
 
+    once = lambda df: df.distinct() if distinct else df
     c = F.col
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     out = part(t("nation"), index(1, c("n_nationkey")), 0, index(0, c("n_regionkey")))
@@ -70,8 +72,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         part(t("customer"), index(2, c("c_custkey")), 0, index(1, c("c_nationkey"))),
         part(t("supplier"), index(3, c("s_suppkey")), 0, index(1, c("s_nationkey"))),
         part(t("orders"), index(5, c("o_orderkey")), 0, index(2, c("o_custkey"))),
-        part(lines, index(5, c("l_orderkey")), 1, index(4, c("l_partkey"))).distinct(),
-        part(lines, index(5, c("l_orderkey")), 2, index(3, c("l_suppkey"))).distinct(),
+        part(lines, index(5, c("l_orderkey")), 1, index(4, c("l_partkey"))).transform(once),
+        part(lines, index(5, c("l_orderkey")), 2, index(3, c("l_suppkey"))).transform(once),
     ):
         out = out.unionByName(more)
     return out
