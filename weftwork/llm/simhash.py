@@ -197,22 +197,36 @@ def _components(each: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFr
     return each.join(mapped, "fp").select("doc_id", "fp", "component_id")
 
 
+def _sets(raw: memoryview, at: np.ndarray, k: int) -> tuple[list[np.ndarray], pa.Array, pa.Array]:
+    """(distinct shingle hashes of each text, a hash of each set, its size)."""
+    from xxhash import xxh64_intdigest as digest
+
+    sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(bytes(raw[s:e]), k)])) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+    fps = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64)
+    return sets, pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32())
+
+
+def _lists(counts, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, n, keys, sig, map, shingles) of every document: its distinct shingle hashes, how
-    many they are, a hash of them all, one key a band of BAND minima, each under a permutation of its
-    own, 8 bits of each minimum, and a map of MAP bits with one bit set for each shingle."""
+    """(doc_id, fp, n, keys, sig, map) of every document, from its distinct shingle hashes: a hash of them
+    all, how many they are, one key a band of BAND minima, each under a permutation of its own, 8 bits of
+    each minimum, and a map of MAP bits with one bit set for each shingle."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     weights = rng.integers(0, 1 << 63, BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     bands = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest as digest
-
         for batch in small(batches, 1, SLICE_BYTES):
             raw, at = buffers(batch.column(1))
-            raw = memoryview(raw)
-            sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(bytes(raw[s:e]), k)])) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+            sets, fps, n = _sets(memoryview(raw), at, k)
             least = np.full((len(sets), BANDS * BAND), (1 << 64) - 1, np.uint64)
             bits = np.zeros((len(sets), MAP), bool)
             for i, some in enumerate(sets):
@@ -220,20 +234,27 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 for j in range(0, len(some), 1 << 12):
                     np.minimum(least[i], (factors[:, None] * some[j : j + (1 << 12)]).min(1), out=least[i])
             keys = mix((mix(least.reshape(-1, BANDS, BAND)) * weights).sum(2, dtype=np.uint64) + bands)
-            n = np.array([len(x) for x in sets], np.int32)
             sig = (mix(least) >> np.uint64(56)).astype(np.uint8).reshape(-1).view(np.int64)
             maps = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
-            lists = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values.view(np.int64)))
-            fps = np.array([digest(x.tobytes(), SEED) for x in sets], np.uint64)
-            yield pa.record_batch(
-                [batch.column(0), pa.array(fps.view(np.int64)), pa.array(n), lists(np.full(len(sets), BANDS), keys.ravel()), lists(np.full(len(sets), BANDS * BAND // 8), sig), lists(np.full(len(sets), MAP // 64), maps), lists(n, np.concatenate(sets) if sets else np.zeros(0, np.uint64))],
-                ["doc_id", "fp", "n", "keys", "sig", "map", "shingles"],
-            )
+            each = lambda size, values: _lists(np.full(len(sets), size), values)
+            yield pa.record_batch([batch.column(0), fps, n, each(BANDS, keys.ravel()), each(BANDS * BAND // 8, sig), each(MAP // 64, maps)], ["doc_id", "fp", "n", "keys", "sig", "map"])
             del sets, least, keys, bits
             release()
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, map array<bigint>, shingles array<bigint>")
+    return _texts(docs).mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, map array<bigint>")
+
+
+def _shingles(docs: DataFrame, k: int) -> DataFrame:
+    """(fp, n, shingles) of every document."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 1, SLICE_BYTES):
+            raw, at = buffers(batch.column(1))
+            sets, fps, n = _sets(memoryview(raw), at, k)
+            yield pa.record_batch([fps, n, _lists([len(x) for x in sets], np.concatenate(sets) if sets else np.zeros(0, np.uint64))], ["fp", "n", "shingles"])
+            release()
+
+    return _texts(docs).mapInArrow(scan, "fp bigint, n int, shingles array<bigint>")
 
 
 def _bits_apart(similarity: float) -> int:
@@ -263,18 +284,21 @@ def _near(similarity: float):
     return fits(F.least("na", "nb")) & (differ <= _bits_apart(similarity)) & fits(F.col("na") - lacks("a", "b")) & fits(F.col("nb") - lacks("b", "a"))
 
 
-def _alike(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity, counted exactly, is ``similarity`` at least;
-    shingles are read only for pairs whose sizes and signatures allow it."""
+    shingles are made again, of one document a set, for pairs alone whose sizes and signatures allow it."""
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     both = materialize(pairs.join(_signed(signatures, "a"), "a").join(_signed(signatures, "b"), "b").where(_near(similarity)).select("a", "b"), "pairs")
     needed = both.select(F.col("a").alias("fp")).union(both.select("b")).distinct()
-    used = materialize(sets.join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    # Written, so that Spark knows its size: texts are shuffled only where it is too large to be broadcast.
+    some = materialize(classes.join(needed, "fp").select(F.col("least").alias("doc_id")).distinct(), "asked")
+    texts = _texts(docs).join(some, "doc_id", "left_semi")
+    used = materialize(_shingles(texts, k).join(needed, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
     side = lambda x: used.select(F.col("fp").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
     shared = F.size(F.array_intersect("sa", "sb"))
     out = both.join(side("a"), "a").join(side("b"), "b").where(shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared) - 1e-6)
     found = materialize(out.select("a", "b"), "alike")
-    discard(both), discard(used)
+    discard(both), discard(used), discard(some)
     return found
 
 
@@ -303,24 +327,23 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
     buckets = materialize(keyed.join(ends, "key"), "buckets")
+    discard(sets)
     star = buckets.select(F.col("fp").alias("a"), F.col("m").alias("b")).union(buckets.select("fp", "x"))
-    edges = _alike(star, signatures, sets, similarity)
+    edges = _alike(star, signatures, docs, classes, k, similarity)
     parts = connected_components(edges)
     members = materialize(buckets.join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
     discard(buckets)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = materialize(members.join(mixed, "key", "left_semi").join(signatures, "fp"), "mixed")
-    # The lesser set of a pair has the greater one's size times the similarity at least: it is of the same class
-    # of sizes, or of the next where such a range goes over the border of classes, one time in three.
-    width = -3 * math.log(similarity) + 1e-6
-    sizes = lambda n: F.floor(F.log(F.greatest(n, F.lit(1.0))) / width)
-    a = _signed(left, "a", "key", F.col("c").alias("ca"), sizes(F.col("n")).alias("s"))
-    b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array_distinct(F.array(sizes(F.col("n")), sizes(F.col("n") * (similarity - 1e-9))))).alias("t"))
+    # The greater set of a pair is of the lesser one's class of sizes or of the next.
+    width = -math.log(similarity) + 1e-6
+    sizes = F.floor(F.log(F.greatest("n", F.lit(1))) / width)
+    a = _signed(left, "a", "key", F.col("c").alias("ca"), sizes.alias("s"))
+    b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array(sizes, sizes - 1)).alias("t"))
     once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     rest = a.join(b, (a["key"] == b["other"]) & (a["s"] == b["t"]) & (F.col("ca") != F.col("cb")) & once & _near(similarity)).select("a", "b")
-    edges = edges.union(_alike(rest, signatures, sets, similarity))
-    discard(left), discard(signatures)
-    discard(members), discard(sets)
+    edges = edges.union(_alike(rest, signatures, docs, classes, k, similarity))
+    discard(left), discard(signatures), discard(members)
     return _components(each, classes, edges)
 
 
