@@ -6,6 +6,7 @@ from weftwork.operators import graph, incremental, reports, simulation
 from weftwork.sources import parsers
 from weftwork.streaming import progress
 
+#: Texts of the format and what they mean.
 MAKE = [
     ("", []), ("a:b c\ndef : ee", [("a", ["b", "c"]), ("def", ["ee"])]), ("a: #comment\n#comment : b\nc : d", [("a", []), ("c", ["d"])]), ("a \\\n\t:b", [("a", ["b"])]),
     ("#comment\\    a : b", []), ("a: b c \\\n    d e\n\nf:g", [("a", ["b", "c", "d", "e"]), ("f", ["g"])]), ("foo/bar: \\\r\n c:/a1 \\\r\n x\r\n", [("foo/bar", ["c:/a1", "x"])]),

@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import paths, patterns
 
+#: Patterns, paths and results that every engine of these patterns has to agree on, as are
+#: those of EXTRACT and NORMAL.
 MATCH = [
     (True, "//*.c", "foo/bar/baz.c"), (True, "**/*.c", "foo/bar/baz.c"), (True, "*.c", "baz.c"), (False, "*.c", "foor/bar.c"), (False, "*/*.c", "foo/bar/baz.c"),
     (False, "foo//bar", "foobar"), (False, "foo/**/bar", "foobar/bar"), (True, "foo//bar", "foo/bar"), (True, "//*", "/bar"), (False, "**/*", "/bar"),
