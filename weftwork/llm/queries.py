@@ -106,6 +106,38 @@ SQL = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op3_suffix_dedup": """
+        WITH d AS (SELECT doc_id, lower(hex(encode(coalesce("text", '')))) AS x FROM documents WHERE doc_id IS NOT NULL),
+        -- Pieces of 512 bytes and the 49 after them: taking strings from a long text costs its length each time.
+        y AS (SELECT doc_id, k, substr(x, 1024 * k + 1, 1122) AS y FROM (SELECT doc_id, x, unnest(range(0, CAST((length(x) + 1023) // 1024 AS BIGINT))) AS k FROM d)),
+        b AS (SELECT doc_id, k, y, unnest(range(1, CAST(least(512, length(y) // 2) AS BIGINT) + 1)) AS j FROM y),
+        w AS (SELECT doc_id, 512 * k + j AS p, substr(y, 2 * j - 1, 2) AS byte, CASE WHEN 2 * j + 98 <= length(y) THEN substr(y, 2 * j - 1, 100) END AS run FROM b),
+        s AS (SELECT run, min(doc_id) AS least FROM w WHERE run IS NOT NULL GROUP BY run),
+        c AS (SELECT doc_id, p, byte, coalesce(max(doc_id > least) OVER (PARTITION BY doc_id ORDER BY p ROWS 49 PRECEDING), FALSE) AS gone FROM w LEFT JOIN s USING (run)),
+        g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), FALSE) AS opens FROM c),
+        k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+        SELECT d.doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
+    "op6_decontamination": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+        i AS (SELECT item_id, regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+        v AS (SELECT DISTINCT item_id, least(len(words), 13) AS n, array_to_string(words[p:p + least(len(words), 13) - 1], ' ') AS run
+              FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 11, 2))) AS p FROM i WHERE len(words) > 0)),
+        lengths AS (SELECT DISTINCT n FROM v),
+        o AS (SELECT r, p, n, item_id FROM (SELECT r, n, p, array_to_string(words[p:p + n - 1], ' ') AS run FROM (SELECT r, words, n, unnest(range(1, len(words) - n + 2)) AS p FROM d, lengths WHERE len(words) >= n)) JOIN v USING (n, run)),
+        h AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM o)) GROUP BY r),
+        t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY r)
+        SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+    """,
+    "op10_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+') AS words FROM documents WHERE doc_id IS NOT NULL),
+        w AS (SELECT doc_id, p, words[p] AS word, CASE WHEN p + 19 <= len(words) THEN array_to_string(words[p:p + 19], ' ') END AS run FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM d)),
+        n AS (SELECT doc_id, p, word, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1 AS late FROM w),
+        c AS (SELECT doc_id, p, word, max(late) OVER (PARTITION BY doc_id ORDER BY p ROWS 19 PRECEDING) AS gone FROM n),
+        k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)
+    """,
     "op11_filter_audit": r"""
         WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce("text", '') AS x FROM documents),
         w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY x) AS least FROM t),
