@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from weftwork.operators import graph, incremental, reports, simulation
@@ -120,3 +121,19 @@ def test_random_graphs_against_direct_evaluation(spark):
 def test_exclusive_time_without_partner(spark):
     rows = spark.createDataFrame([("k", 1, 0.0, 2.0), ("k", 2, 5.0, 1.0)], "key string, index long, start double, execution double")
     assert {(r["index"], r.etime, r.wtime) for r in reports.exclusive_time(rows, "key").collect()} == {(1, 2.0, 2.0), (2, 1.0, 1.0)}
+
+
+def test_makefile_edges_go_out_some_at_a_time(spark):
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    n = parsers.ROWS + 5
+    batch = pa.record_batch([pa.array(["a", None, "b"]), pa.array(["x: " + "d " * n, None, "y z: e"])], ["file", "text"])
+    parts = list(parsers.makefile_edges(Files())(iter([batch])))
+    assert max(p.num_rows for p in parts) <= parsers.ROWS and sum(p.num_rows for p in parts) == n + 2
+    files = spark.createDataFrame([("a", "x: d\\\n e # no"), ("b", "y z: e"), ("c", None)], "file string, text string")
+    assert sorted(map(tuple, parsers.makefile_edges(files).collect())) == [("a", "x", 0, "d"), ("a", "x", 1, "e"), ("b", "y", 0, "e"), ("b", "z", 0, "e")]
