@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, distinct_words, is_word_table, lower_table, materialize, release, row_key, runs_of, small, word_bounds
+from .common import WIDE_READ, WIDE_WRITE, buffers, discard, distinct_words, is_word_table, lower_table, materialize, release, row_key, runs_of, settings, small, tune, word_bounds
 from .repeats import spans
 
 WINDOW = 13
@@ -71,6 +71,13 @@ def index(docs: DataFrame) -> DataFrame:
     return docs.select(doc.alias("doc"), text_hash.alias("hash"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The index, written to the shared folder. A row has the postings of some MB of text, so row groups are small;
+    it is read under WIDE_READ, else one batch would hold all shards of a task."""
+    tune(docs.sparkSession)
+    return materialize(index(docs), "postings", WIDE_WRITE)
+
+
 @dataclass
 class Phrases:
     """The distinct windows of a block of items: rows of word numbers, -1 beyond a short one's end."""
@@ -297,8 +304,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Data
     and no rows give no rows. A benchmark beyond BLOCK_BYTES is searched block by block in the same
     index, and the runs are united.
     """
-    postings = materialize(index(docs), "postings")
-    found = [_hits(postings, p) for p in blocks(benchmark, window)]
+    postings, found = stored(docs), []
+    for phrases in blocks(benchmark, window):
+        with settings(docs.sparkSession, WIDE_READ):
+            found.append(materialize(_hits(postings, phrases), "hits"))
+    discard(postings)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -335,10 +345,11 @@ def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: fl
     a phrase's words, at least ``share`` of its distinct words, in any order: the best count of each
     document and item, and the least position that has it. Nulls, repeats and empty tables as in
     ``matches``; rows that share a doc_id give a row each."""
-    postings, out = materialize(index(docs), "postings"), None
+    postings, out = stored(docs), None
     schema = "shard bigint, row int, doc_id bigint, item_id bigint, position bigint, words bigint"
     for phrases in blocks(benchmark, window):
-        _ordered(postings, phrases)
+        with settings(docs.sparkSession, WIDE_READ):
+            _ordered(postings, phrases)
         shared = postings.sparkSession.sparkContext.broadcast(phrases)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -356,7 +367,8 @@ def proximity(docs: DataFrame, benchmark: DataFrame, within: int = 40, share: fl
                     columns = pa.array(np.full(len(best), shard)), pa.array(at[best].astype(np.int32)), ids, pa.array(item[best]), pa.array(place[best] - own.ends[at[best]]), pa.array(n[best])
                     yield pa.record_batch(list(columns), names=[c.split()[0] for c in schema.split(", ")])
 
-        some = postings.mapInArrow(run, schema)
+        with settings(docs.sparkSession, WIDE_READ):
+            some = materialize(postings.mapInArrow(run, schema), "near")
         out = some if out is None else out.unionByName(some)
     best = F.max(F.struct("words", (-F.col("position")).alias("p"))).alias("best")
     return out.groupBy("shard", "row", "item_id").agg(F.first("doc_id").alias("doc_id"), best).select("doc_id", "item_id", (-F.col("best.p")).alias("position"), F.col("best.words").alias("words"))
