@@ -118,3 +118,16 @@ def test_the_pipeline_keeps_one_of_similar_documents(spark):
     changed = [w if i not in (50, 150, 250) else "x" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, "other words of some text")], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_simhash_brings_the_first_candidates_of_keep_one(spark, monkeypatch):
+    rnd = random.Random(3)
+    base = [rnd.choice([f"w{i}" for i in range(900)]) for _ in range(800)]
+    near = base[:-1] + ["other"]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, "words of no other text at all")], "doc_id long, text string")
+    sims = [simhash.majority(iter([np.unique(np.concatenate(list(simhash.shingle_hashes(" ".join(w).encode(), 5))))])) for w in (base, near)]
+    assert bin(sims[0] ^ sims[1]).count("1") <= 2
+    asked, own = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: asked.append({frozenset(r) for r in pairs.collect() if r.a != r.b}) or own(pairs, *rest))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
+    assert [len(a) for a in asked] == [1, 0, 0]

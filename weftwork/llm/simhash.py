@@ -215,8 +215,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, fp, n, keys, sig, map) of every document, from its distinct shingle hashes: a hash of them
-    all, how many they are, one key a band of BAND minima, each under a permutation of its own, 8 bits of
+    """(doc_id, fp, sim, n, keys, sig, map) of every document, from its distinct shingle hashes: a hash of them
+    all, their SimHash fingerprint, how many they are, one key a band of BAND minima, each under a permutation of its own, 8 bits of
     each minimum, and a map of MAP bits with one bit set for each shingle."""
     rng = np.random.default_rng(SEED)
     factors = rng.integers(0, 1 << 63, BANDS * BAND, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -233,15 +233,16 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 bits[i, mix(some) % np.uint64(MAP)] = True
                 for j in range(0, len(some), 1 << 12):
                     np.minimum(least[i], (factors[:, None] * some[j : j + (1 << 12)]).min(1), out=least[i])
+            sims = np.array([majority(iter([x])) for x in sets], np.uint64)
             keys = mix((mix(least.reshape(-1, BANDS, BAND)) * weights).sum(2, dtype=np.uint64) + bands)
             sig = (mix(least) >> np.uint64(56)).astype(np.uint8).reshape(-1).view(np.int64)
             maps = np.packbits(bits, axis=1).reshape(-1).view(np.int64)
             each = lambda size, values: _lists(np.full(len(sets), size), values)
-            yield pa.record_batch([batch.column(0), fps, n, each(BANDS, keys.ravel()), each(BANDS * BAND // 8, sig), each(MAP // 64, maps)], ["doc_id", "fp", "n", "keys", "sig", "map"])
+            yield pa.record_batch([batch.column(0), fps, pa.array(sims.view(np.int64)), n, each(BANDS, keys.ravel()), each(BANDS * BAND // 8, sig), each(MAP // 64, maps)], ["doc_id", "fp", "sim", "n", "keys", "sig", "map"])
             del sets, least, keys, bits
             release()
 
-    return _texts(docs).mapInArrow(scan, "doc_id bigint, fp bigint, n int, keys array<bigint>, sig array<bigint>, map array<bigint>")
+    return _texts(docs).mapInArrow(scan, "doc_id bigint, fp bigint, sim bigint, n int, keys array<bigint>, sig array<bigint>, map array<bigint>")
 
 
 def _shingles(docs: DataFrame, k: int) -> DataFrame:
@@ -302,17 +303,28 @@ def _alike(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, classes: Da
     return found
 
 
+def _simhash_pairs(sets: DataFrame) -> DataFrame:
+    """(a, b): sets whose SimHash fingerprints differ in at most 2 bits, by their Golay keys. Sets of one
+    fingerprint are paired with the least of them, which stands for it in pairs of fingerprints."""
+    sims = materialize(sets.select("sim", "fp").distinct(), "simhash")
+    least = materialize(sims.groupBy("sim").agg(F.min("fp").alias("least")), "simhash-least")
+    own = sims.join(least, "sim").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    end = lambda x: least.select(F.col("sim").alias(x), F.col("least").alias(f"{x}f"))
+    return links(least.select(F.col("sim").alias("fp"))).join(end("a"), "a").join(end("b"), "b").select(F.col("af").alias("a"), F.col("bf").alias("b")).union(own)
+
+
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) of every document: documents whose sets of ``k``-word shingles have
     a Jaccard similarity of ``similarity`` or more are linked; the class is the least doc_id that
     links reach. ``fp`` is a hash of the set.
 
-    Such sets differ in far more than the few bits of a fingerprint that Golay keys can bridge (at
-    0.8 about 10 of 64), so candidates come from BANDS bands of BAND minima of the sets: a pair at
-    0.8 shares none with a probability of 3e-6. A signature of 8 bits of each minimum and the sizes
+    First come the pairs that SimHash finds: fingerprints of the sets within 2 bits, brought together by
+    their Golay keys (``links``). Sets at 0.8 may differ in far more bits (about 10 of 64) than such keys
+    can bridge, so for the sets that are not together yet further candidates come from BANDS bands of BAND minima
+    of the sets: a pair at 0.8 shares none with a probability of 3e-6. A signature of 8 bits of each minimum and the sizes
     rule pairs out before their shingles are read (a pair at 0.8 with a probability below 1e-5); every
-    link is verified by counting. In a bucket, members are compared with its least and greatest
-    first; then the pairs that are not in one component yet are joined on the bucket and on classes of
+    link, of either kind, is verified by counting. In a bucket, members are compared with its least and greatest
+    first, if not in one component with it; then the pairs that are not in one component yet are joined on the bucket and on classes of
     sizes, with sizes, signatures and maps as part of the join's condition, so a large group of copies
     needs no pairs within it and one of unlike texts gives no rows.
 
@@ -324,14 +336,18 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     each = materialize(sets.select("doc_id", "fp"), "fingerprints")
     classes = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     signatures = materialize(sets.groupBy("fp").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("map").alias("map")), "signatures")
-    keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).select("fp", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).where("m < x")
+    close = _alike(_simhash_pairs(sets), signatures, docs, classes, k, similarity)
+    parts = connected_components(close)
+    keyed = sets.groupBy("fp").agg(F.first("keys").alias("keys")).join(parts.withColumnRenamed("node", "fp"), "fp", "left")
+    keyed = keyed.select("fp", F.coalesce("component", "fp").alias("c"), F.explode("keys").alias("key"))
+    least, most = F.min(F.struct("fp", "c")), F.max(F.struct("fp", "c"))
+    ends = keyed.groupBy("key").agg(least.alias("m"), most.alias("x")).where("m.fp < x.fp")
     buckets = materialize(keyed.join(ends, "key"), "buckets")
     discard(sets)
-    star = buckets.select(F.col("fp").alias("a"), F.col("m").alias("b")).union(buckets.select("fp", "x"))
-    edges = _alike(star, signatures, docs, classes, k, similarity)
+    star = buckets.where("c <> m.c").select(F.col("fp").alias("a"), F.col("m.fp").alias("b")).union(buckets.where("c <> x.c").select("fp", "x.fp"))
+    edges = close.union(_alike(star, signatures, docs, classes, k, similarity))
     parts = connected_components(edges)
-    members = materialize(buckets.join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
+    members = materialize(buckets.select("key", "fp").join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
     discard(buckets)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
     left = materialize(members.join(mixed, "key", "left_semi").join(signatures, "fp"), "mixed")
