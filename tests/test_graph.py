@@ -63,3 +63,26 @@ def test_results_only(spark):
     profile = spark.createDataFrame(rows, "index long, name string, depends array<array<long>>")
     got = reports.results_only(profile, profile.where("name <> 'step'")).collect()
     assert {r["index"]: r.depends for r in got} == {1: [[2], [4]], 2: [], 4: [[2, 5]], 5: []}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_edges_are_not_made_distinct_before_use(spark, monkeypatch):
+    n, e = frames(spark, range(5), {(1, 0), (2, 1), (3, 1), (3, 2), (4, 0)})
+    twice = e.union(e)
+    cuts, own = [], graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(plan(df)) or own(df))
+    for run in (lambda x: graph.levels(n, x), lambda x: graph.live(n.where("index = 3"), x), lambda x: graph.closure(n, x)):
+        cuts.clear()
+        got = sorted(map(tuple, run(twice).collect()))
+        assert "Exchange" not in cuts[0] and "Aggregate" not in cuts[0]
+        assert got == sorted(map(tuple, run(e).collect())) and len(set(got)) == len(got)
+
+
+def test_users_take_one_shuffle(spark):
+    _, e = frames(spark, range(4), {(1, 0), (2, 0), (3, 1)})
+    users = reports.users(e.union(e))
+    assert plan(users).count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, users.collect())) == [(0, 2, 1, 2), (1, 1, 3, 3)]

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _cut
+from .graph import _cut, _union
 
 
 def dirty(results: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,15 +43,17 @@ def evaluate(results: DataFrame, edges: DataFrame, sources: DataFrame, rule: Cal
     with the digest of before keeps ``changed``, which cuts off what depends on it.
     """
     depth = ranked.agg(F.max("level")).first()[0] or 0
+    pairs = edges.select(F.col("src").alias("id"), "dst").repartition("id").distinct()
+    pairs = _cut(pairs.join(ranked.select(F.col("index").alias("id"), "level"), "id"))
     old = results.select("id", F.col("digest").alias("old_digest"), F.col("built").alias("old_built"), F.col("changed").alias("old_changed"))
-    now = None
+    done: list[DataFrame] = []
     for level in range(depth + 1):
         nodes = ranked.where(F.col("level") == level).select(F.col("index").alias("id")).join(old, "id", "left")
         if level == 0:
             fresh = nodes.join(sources, "id", "left")
             need = F.col("old_built").isNull() | (F.col("digest") != F.col("old_digest"))
         else:
-            used = edges.select(F.col("src").alias("id"), "dst").distinct().join(now.select(F.col("id").alias("dst"), F.col("digest").alias("d"), F.col("changed").alias("c")), "dst")
+            used = pairs.where(F.col("level") == level).select("id", "dst").join(_union(done).select(F.col("id").alias("dst"), F.col("digest").alias("d"), F.col("changed").alias("c")), "dst")
             deps = used.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dst", "d"))), lambda x: x["d"]).alias("deps"), F.max("c").alias("latest"))
             state = nodes.join(deps, "id")
             need = F.col("old_built").isNull() | (F.col("latest") > F.col("old_built"))
@@ -59,8 +61,8 @@ def evaluate(results: DataFrame, edges: DataFrame, sources: DataFrame, rule: Cal
             fresh = state.join(fresh, "id", "left")
         changed = F.when(need & (F.col("digest") != F.coalesce("old_digest", F.lit(""))), step).otherwise(F.coalesce("old_changed", F.lit(step)))
         rows = fresh.select("id", F.when(need, F.col("digest")).otherwise(F.col("old_digest")).alias("digest"), F.when(need, step).otherwise(F.col("old_built")).cast("bigint").alias("built"), changed.cast("bigint").alias("changed"))
-        now = _cut(rows if now is None else now.union(rows))
-    return now
+        done.append(_cut(rows))
+    return _union(done)
 
 
 def latest(log: DataFrame, key: str = "id", order: str = "seq") -> DataFrame:

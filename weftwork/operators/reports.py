@@ -57,8 +57,9 @@ def timeline(traces: DataFrame, end: float, buckets: int = 100) -> DataFrame:
 
 
 def reverse_edges(edges: DataFrame) -> DataFrame:
-    """(index, src): each node with one that depends on it; a hub's users stay rows."""
-    return edges.select(F.col("dst").alias("index"), "src").distinct()
+    """(index, src): each node with one that depends on it; a hub's users stay rows. Rows are dealt by node first: in
+    the order of a scan there is little to merge, and a task's map of all its rows would grow with the table."""
+    return edges.select(F.col("dst").alias("index"), "src").repartition("index").distinct()
 
 
 def users(edges: DataFrame) -> DataFrame:
