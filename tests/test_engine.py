@@ -137,3 +137,12 @@ def test_makefile_edges_go_out_some_at_a_time(spark):
     assert max(p.num_rows for p in parts) <= parsers.ROWS and sum(p.num_rows for p in parts) == n + 2
     files = spark.createDataFrame([("a", "x: d\\\n e # no"), ("b", "y z: e"), ("c", None)], "file string, text string")
     assert sorted(map(tuple, parsers.makefile_edges(files).collect())) == [("a", "x", 0, "d"), ("a", "x", 1, "e"), ("b", "y", 0, "e"), ("b", "z", 0, "e")]
+
+
+def test_small_profiles_share_a_batch(spark):
+    rows = [(k, i, float(i + k), [[0]] if i else []) for k in range(3) for i in range(3)]
+    profile = spark.createDataFrame(rows, "key long, index long, execution double, depends array<array<long>>")
+    found = simulation.precise_critical_path(profile, "key")
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: r.seconds for r in found.collect()} == {str(k): k + 2.0 + k for k in range(3)}
+    assert {(r.key, r.threads): r.realistic for r in simulation.parallelism(profile, "key", 2).collect()}["1", 1] == 6.0

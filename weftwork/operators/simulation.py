@@ -5,9 +5,10 @@ from __future__ import annotations
 
 import heapq
 import itertools
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,21 +111,46 @@ def precise_path(execution: list[float], depends: Iterable) -> float:
 
 def _rows(frame: pd.DataFrame) -> tuple[list[float], list]:
     frame = frame.sort_values("index")
-    place = {x: i for i, x in enumerate(frame["index"].tolist())}
-    depends = [[[place[x] for x in g] for g in d] for d in frame["depends"]]
-    return frame["execution"].astype(float).tolist(), depends
+    return _placed(frame["index"].tolist(), frame["execution"].astype(float).tolist(), frame["depends"])
+
+
+def _placed(index: list[int], execution: list[float], depends: Iterable) -> tuple[list[float], list]:
+    """Seconds and dependencies of tasks in the order of their index, which becomes their place."""
+    place = {x: i for i, x in enumerate(index)}
+    return execution, [[[place[x] for x in g] for g in d] for d in depends]
+
+
+def _each(profile: DataFrame, key: str, make: Callable[[str, list[float], list], Iterable[tuple]], schema: str) -> DataFrame:
+    """The rows that ``make`` gives for each profile. A profile is one row of arrays, and a batch has many: profiles
+    may be small and many, and a group of its own for each costs more than its simulation."""
+    task = F.struct("index", F.col("execution").cast("double").alias("execution"), "depends")
+    rows = profile.groupBy(F.col(key).cast("string").alias("key")).agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
+    kinds = pa.schema([(c.split()[0], arrow[c.split()[1]]) for c in schema.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = []
+                for name, tasks in zip(part.column(0), part.column(1)):
+                    own = tasks.as_py()
+                    out += make(name.as_py(), *_placed([t["index"] for t in own], [t["execution"] for t in own], [t["depends"] for t in own]))
+                if out:
+                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*out), kinds)], schema=kinds)
+
+    return rows.mapInArrow(run, schema)
 
 
 def parallelism(profile: DataFrame, key: str, most: int = 24) -> DataFrame:
     """Per profile ``key`` and number of threads: makespan, the ideal one, and the gap between."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        execution, depends = _rows(frame)
-        real = [simulate(execution, depends, n)[0] for n in range(1, most + 1)]
-        ideal = [sum(execution) / n for n in range(1, most + 1)]
-        return pd.DataFrame({"key": str(frame[key].iloc[0]), "threads": range(1, most + 1), "realistic": real, "ideal": ideal, "gap": [max(0.0, a - b) for a, b in zip(real, ideal)]})
+    def make(name: str, execution: list[float], depends: list) -> Iterable[tuple]:
+        for n in range(1, most + 1):
+            real, ideal = simulate(execution, depends, n)[0], sum(execution) / n
+            yield name, n, real, ideal, max(0.0, real - ideal)
 
-    return profile.select(key, "index", "execution", "depends").groupBy(key).applyInPandas(run, "key string, threads int, realistic double, ideal double, gap double")
+    return _each(profile, key, make, "key string, threads int, realistic double, ideal double, gap double")
 
 
 def starts(profile: DataFrame, key: str, threads: int = 24) -> DataFrame:
@@ -140,11 +166,7 @@ def starts(profile: DataFrame, key: str, threads: int = 24) -> DataFrame:
 
 def precise_critical_path(profile: DataFrame, key: str) -> DataFrame:
     """Per profile: the critical path that honours the order of dependency groups."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"key": [str(frame[key].iloc[0])], "seconds": [precise_path(*_rows(frame))]})
-
-    return profile.select(key, "index", "execution", "depends").groupBy(key).applyInPandas(run, "key string, seconds double")
+    return _each(profile, key, lambda name, execution, depends: [(name, precise_path(execution, depends))], "key string, seconds double")
 
 
 def lanes(traces: DataFrame, key: str) -> DataFrame:
