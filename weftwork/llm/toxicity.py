@@ -4,8 +4,8 @@ A word's vector is the mean of the vectors of its character n-grams and of the w
 up by hash; so a misspelling shares most of the vectors of the word it stands for. A document's
 vector is the average over its words; as an average alone dilutes what a long text holds in one
 place, the average over its worst pair of neighbouring words (at any place) counts as well. A linear
-softmax scores both. Vectors and softmax are trained jointly by gradient descent in numpy on the
-driver, on a bounded sample of labelled documents: at most ``per_class`` of each label, those with
+softmax scores both. Vectors and softmax are trained jointly by gradient descent in numpy in one
+task, on a bounded sample of labelled documents: at most ``per_class`` of each label, those with
 the least hash of their id, of at most ``sample_bytes`` bytes each. Scoring covers whole texts of
 all documents.
 """
@@ -174,17 +174,16 @@ def boundary(logits: np.ndarray, labels: np.ndarray) -> float:
     return max(0.25, float((edges[i] + edges[i + 1]) / 2))
 
 
-def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """The training sample: ``labels`` (doc_id, toxic) picks the documents. A document labelled
-    twice counts as toxic if one label says so; null labels are left out; of texts that share a
+def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, toxic, h, text): the training sample, h its order. ``labels`` (doc_id, toxic) picks the documents. A
+    document labelled twice counts as toxic if one label says so; null labels are left out; of texts that share a
     doc_id the least is taken. Only ids are shuffled to pick the sample."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
     met = rows.select("doc_id").join(known, "doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
     picked = [met.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class) for y in (0, 1)]
     chosen = F.broadcast(picked[0].union(picked[1]))  # 2 * per_class rows at most
-    found = rows.join(chosen, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")).toPandas().sort_values(["h", "doc_id"])
-    return [t.encode() for t in found.text], found.toxic.to_numpy(np.int64)
+    return rows.join(chosen, "doc_id").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
 
 
 SCHEMA = "doc_id bigint, score double, predicted int"
@@ -192,7 +191,7 @@ SCHEMA = "doc_id bigint, score double, predicted int"
 
 def _scorer(docs: DataFrame, model: Model):
     """A function from a text column to its scores, for use in tasks; the model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32), model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.vectors.astype(np.float32, copy=False), model.weights, model.bias))
 
     def scores(column: pa.Array) -> np.ndarray:
         own = Model(*shared.value)
@@ -230,11 +229,31 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
-    """Trains on labelled documents that are not held out."""
-    model = train(*sample(docs, labels.where(~held_out(F.col("doc_id"))), **bounds))
+#: A model as a row: numbers and vectors of the buckets that are not zero.
+MODEL = "at binary, vectors binary, weights binary, bias double"
+
+
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of all rows of ``sample``."""
+    rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("h", "doc_id", "toxic", "text")))]
+    rows.sort(key=lambda r: r[:2])
+    model = train([r[3].encode() for r in rows], np.array([r[2] for r in rows], np.int64))
+    at = np.flatnonzero(model.vectors.any(axis=1)).astype(np.int32)
+    out = (at.tobytes(), model.vectors[at].astype(np.float32).tobytes(), model.weights.tobytes(), model.bias)
+    del rows, model
     release()
-    return model
+    yield pa.record_batch([pa.array([x]) for x in out], ["at", "vectors", "weights", "bias"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, **bounds: int) -> Model:
+    """Trains on labelled documents that are not held out, in one task, as the sample is bounded; the driver gets the
+    vectors that are not zero and no text."""
+    row = sample(docs, labels.where(~held_out(F.col("doc_id"))), **bounds).repartition(1).mapInArrow(_train_rows, MODEL).first()
+    if row is None:  # no rows, no task
+        return train([], np.zeros(0))
+    vectors = np.zeros((BUCKETS, DIMENSIONS), np.float32)
+    vectors[np.frombuffer(row.at, np.int32)] = np.frombuffer(row.vectors, np.float32).reshape(-1, DIMENSIONS)
+    return Model(vectors, np.frombuffer(row.weights).reshape(2, DIMENSIONS), row.bias)
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
