@@ -74,3 +74,20 @@ def test_scan_of_chunks():
         want.append(state)
         state = int(after[state, s])
     assert transducer.run_chunks(after, symbols).tolist() == want
+
+
+def test_each_place_of_a_word_is_looked_up_once_and_words_are_not_hashed(vocabulary, library, monkeypatch):
+    looked = []
+
+    class Counted(dict):
+        def get(self, key):
+            looked.append(key)
+            return super().get(key)
+
+    counter = transducer.TextCounter(vocabulary)
+    counter.words.ends, counter.words.ids = Counted(counter.words.ends), None
+    monkeypatch.setattr(np, "union1d", None)
+    rows = [t for t in texts() if len(t) < 1000]
+    raw, at = np.frombuffer("".join(rows).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in rows)])
+    assert counter.counts(raw, at).tolist() == [len(e.ids) for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert len(looked) > 100

@@ -118,8 +118,8 @@ class WordCounter:
     def __init__(self, vocabulary: Vocabulary):
         special = set(vocabulary.specials.values())
         self.ids = {t: i for i, t in enumerate(vocabulary.token_bytes) if i not in special}
-        #: All ends of tokens: going back from a place in a word, where to stop.
-        self.ends = {t[i:] for t in self.ids for i in range(len(t))}
+        #: All ends of tokens: going back from a place in a word, where to stop; by each the token that it is, or -1.
+        self.ends = dict.fromkeys((t[i:] for t in self.ids for i in range(1, len(t))), -1) | self.ids
         self.size = [len(t) for t in vocabulary.token_bytes]
         self.rank: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -207,14 +207,22 @@ class WordCounter:
     def _token(self, word: bytes, end: int, last: list[int]) -> tuple[int, int]:
         """(last token of the encoding of word[:end], where it starts); ``last``: those of shorter prefixes.
         Going back from the end, what is no end of any token is not looked at."""
-        ids, ends, start, starts = self.ids.get, self.ends, end - 1, []
-        while start >= 0 and word[start:end] in ends:
-            if ids(word[start:end]) is not None:
-                starts.append(start)
+        ends, fits, start, found = self.ends.get, self.fits.get, end - 1, []
+        while start >= 0:
+            token = ends(word[start:end])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((start, token))
             start -= 1
-        for start in reversed(starts):
-            token = ids(word[start:end])
-            if self._whole(token) and (start == 0 or self.pair_fits(last[start], token)):
+        for start, token in reversed(found):
+            if start == 0:
+                fit = True
+            else:
+                fit = fits((last[start], token))
+                if fit is None:
+                    fit = self.pair_fits(last[start], token)
+            if fit and self._whole(token):
                 return token, start
         raise ValueError("a byte is no token")
 
@@ -269,7 +277,10 @@ class TextCounter:
         begins[:-1] |= (emitted[1:] & BACK) > 0
         word = lead[begins]
         # The last of a text may be a quote and one letter: the letter starts a word.
-        word = np.union1d(word, self._open_ends(raw, starts, word))
+        more = self._open_ends(raw, starts, word)
+        if len(more):
+            word = np.sort(np.concatenate([word, more]))
+            word = word[np.append(True, word[1:] > word[:-1])]
         inside = special[np.searchsorted(starts, word, "right") - 1]
         end = np.append(word[1:], len(raw))
         plain, plain_end = word[~inside], end[~inside]
@@ -294,8 +305,9 @@ class TextCounter:
     def _open_ends(self, raw: np.ndarray, starts: np.ndarray, word: np.ndarray) -> np.ndarray:
         ends = starts[1:]
         ends = ends[ends >= 2]
-        open_ = (raw[ends - 2] == ord("'")) & np.isin(raw[ends - 1], np.frombuffer(b"rvl", np.uint8)) & np.isin(ends - 2, word)
-        return ends[open_] - 1
+        ends = ends[(raw[ends - 2] == ord("'")) & np.isin(raw[ends - 1], np.frombuffer(b"rvl", np.uint8))]
+        at = np.searchsorted(word, ends - 2)
+        return ends[np.append(word, -1)[at] == ends - 2] - 1
 
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean"
