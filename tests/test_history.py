@@ -82,3 +82,19 @@ def test_versions_and_no_entries(spark):
     entries = [(1, "k", (1, 0, 0), "a", []), (2, "k", (1, 0, 1), "b", [])]
     assert found(spark, entries, {}, [("k", 1, 0, 0), ("k", 1, 0, 1), ("k", 2, 0, 0), ("k", 1, 1, 0)]) == {("k", 1, 0, 0): (1, "a"), ("k", 1, 0, 1): (2, "b")}
     assert found(spark, [], {}, [("k", 1, 0, 0)]) == {}
+
+
+def test_only_what_is_wanted_is_walked(spark, monkeypatch):
+    """The same rows as a lookup; what no wanted key leads to is not written, and a lookup makes its tree once."""
+    entries, current, wanted = cases(random.Random(5), 150)
+    e, d, c = frames(spark, entries, current)
+    asked, sizes = spark.createDataFrame(wanted[:6] + wanted[:2], WANTED), []
+    cut = history._cut
+    monkeypatch.setattr(history, "_cut", lambda df: sizes.append((out := cut(df)).count()) or out)
+    rows = history.find(asked, history.nested(e, d), c).collect()
+    assert {(r.key, *(r[1:4])): (r.entry, r.result) for r in rows} == direct(entries, current, wanted[:6]) and len(rows) == len(set(rows)) > 1
+    assert sizes[0] == sum((k, *v) in wanted[:6] for _, k, v, *_ in entries) < 60 and sizes[::2] == sorted(sizes[::2], reverse=True)
+    assert history.find(asked.limit(0), history.nested(e, d), c).collect() == []
+    sizes.clear()
+    history.lookup(asked, nodes := history.tree(e, d), c)
+    assert sizes[0] == nodes.count()

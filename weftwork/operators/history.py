@@ -33,6 +33,15 @@ def _groups(deps: DataFrame) -> DataFrame:
     return one.groupBy("entry").agg(F.array_sort(F.collect_list("g")).alias("groups"))
 
 
+def nested(entries: DataFrame, deps: DataFrame) -> DataFrame:
+    """``entries`` (entry, key, the three versions, result) with ``groups`` (depends, identities), in order: the form
+    that ``find`` takes."""
+    known = entries.select("entry", *VERSIONED, "result").join(_groups(deps), "entry", "left")
+    none = F.array().cast("array<struct<group_no:int,depends:array<string>,identities:array<string>>>")
+    groups = F.transform(F.coalesce("groups", none), lambda g: F.struct(g["depends"].alias("depends"), g["identities"].alias("identities")))
+    return known.withColumn("groups", groups)
+
+
 def _nodes(rows: DataFrame) -> DataFrame:
     """One row a node of (node, seq, depends, done): a result wins over questions and the first result over
     later ones; of different questions, which should not be, the latest."""
@@ -50,11 +59,8 @@ def tree(entries: DataFrame, deps: DataFrame) -> DataFrame:
     nodes are made by each entry by itself and merged with partial aggregation. An entry without
     dependencies is a result at the root. Extra columns are ignored; no entries give no nodes.
     """
-    known = entries.select("entry", *VERSIONED, "result").join(_groups(deps), "entry", "left")
-    none = F.array().cast("array<struct<group_no:int,depends:array<string>,identities:array<string>>>")
-    groups = F.transform(F.coalesce("groups", none), lambda g: F.struct(g["depends"].alias("depends"), g["identities"].alias("identities")))
     way = F.aggregate("groups", F.array(_root()), lambda a, g: F.concat(a, F.array(_child(F.element_at(a, -1), g["depends"], g["identities"]))))
-    ways = known.withColumn("groups", groups).withColumn("way", way)
+    ways = nested(entries, deps).withColumn("way", way)
     each = ways.select("entry", "result", "groups", F.posexplode("way").alias("i", "node"))
     last = F.col("i") == F.size("groups")
     return _nodes(each.select(
@@ -118,13 +124,37 @@ def lookup(wanted: DataFrame, nodes: DataFrame, current: DataFrame, known: DataF
     nothing. With ``known`` (what ``filters`` gives) most keys that will find nothing never start. Rounds are as many
     as the longest entry has groups; each is written once. Wanted keys are distinct.
     """
+    nodes = _cut(nodes.select("node", "depends", "done"))  # else a round would make the tree anew
     asked = wanted.select(*VERSIONED).distinct() if known is None else plausible(wanted.select(*VERSIONED).distinct(), known, current)
     front, done = asked.withColumn("node", _root()), []
     while True:
-        here = _cut(front.join(nodes.select("node", "depends", "done"), "node"))
+        here = _cut(front.join(nodes, "node"))
         done.append(here.where("done is not null").select(*VERSIONED, F.col("done.entry").alias("entry"), F.col("done.result").alias("result")))
         undecided = here.where("done is null")
         if undecided.isEmpty():
             return _union(done)
         step = _identities(undecided.select(*VERSIONED, "node", "depends"), current, [*VERSIONED, "node"])
         front = step.select(*VERSIONED, _child(F.col("node"), F.col("depends"), F.col("identities")).alias("node"))
+
+
+def find(wanted: DataFrame, entries: DataFrame, current: DataFrame) -> DataFrame:
+    """The rows of ``lookup``, from the entries themselves (as ``nested`` gives them): of each wanted key's tree only the
+    way that is walked is made, a node a round, and entries that are not below it are left out from there on.
+
+    Rounds are as many as the longest entry has groups; each is written once. A key's entries are merged with partial
+    aggregation, and lie together from the first round on.
+    """
+    columns, none = ["entry", "result", "groups"], F.array().cast("array<string>")
+    left, done, depth = _cut(entries.join(wanted.select(*VERSIONED).distinct(), VERSIONED, "left_semi").select(*VERSIONED, *columns)), [], 0
+    while True:
+        group = F.get("groups", F.lit(depth))
+        end = group.isNull()
+        heads = _cut(left.groupBy(*VERSIONED).agg(
+            F.min(F.when(end, F.struct("entry", F.col("result").cast("string").alias("result")))).alias("done"), F.max_by(F.when(~end, group["depends"]), F.when(~end, F.col("entry"))).alias("depends")))
+        done.append(heads.where("done is not null").select(*VERSIONED, "done.entry", "done.result"))
+        undecided = heads.where("done is null")
+        if undecided.isEmpty():
+            return _union(done)
+        step = _identities(undecided.select(*VERSIONED, "depends"), current, VERSIONED)
+        below = left.withColumns({"own_depends": F.coalesce(group["depends"], none), "own": F.coalesce(group["identities"], none)}).join(step, VERSIONED)
+        left, depth = _cut(below.where("own_depends = depends and own = identities").select(*VERSIONED, *columns)), depth + 1
