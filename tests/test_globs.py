@@ -108,3 +108,19 @@ def test_table_walk_equals_folder_walk(spark, tree):
     for some in (["//*.txt"], ["*/a/**"], ["C.txt/D.txt", "*.txt"]):
         both = [sorted(map(tuple, globs.walk(spark, some, source).collect())) for source in (table, globs.folder(tree))]
         assert both[0] == both[1]
+
+
+def test_what_a_worker_keeps_is_bounded(monkeypatch):
+    """Steps of one state and the places of large states count, whatever names come."""
+    from weftwork.functions import pattern_set
+
+    monkeypatch.setattr(pattern_set, "KEPT", 500)
+    patterns = [f"//{a}/{i}*" for a in ("x", "y") for i in range(40)]
+    whole, most = pattern_set.PatternSet(patterns), 0
+    for i in range(3000):
+        name = f"{'xyz'[i % 3]}/{i % 1000}"
+        first, n = name.split("/")
+        assert set(whole.match(f"h{i}/{name}")) == {k for k, p in enumerate(patterns) if p[2] == first and n.startswith(p[4:-1])}
+        states = set(whole._states.values()) if i % 50 == 0 else ()
+        most = max([most, *[sum(len(s.steps) + len(s.places) for s in states)]])
+    assert most <= 500 + 2 * len(whole.parts)
