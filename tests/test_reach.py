@@ -61,3 +61,20 @@ def test_numbers_and_sums_without_a_single_window(spark):
         at += v or 0
     assert {r.id: (r.n, r.before) for r in got} == want
     assert ordering.numbered(frame.where("false"), [F.col("id")], "n").collect() == []
+
+
+def test_intervals_are_of_what_is_behind_only(spark, monkeypatch):
+    """A customer far from its nation: numbers in between are ruled out where it is met, so a round writes no
+    row of it; nodes that use nothing have no interval."""
+    n = 40
+    pairs = {(0, 1), (1, 2), (3, 2)} | {(s, 3) for s in range(4, n)} | {(3, d) for d in range(n, n + 20)} | {(n + 30, n + 31)}
+    nodes, edges = spark.createDataFrame([(i,) for i in range(n + 32)], "index long"), spark.createDataFrame(sorted(pairs), "src long, dst long")
+    index = reach.labels(nodes, edges)
+    at = {r["index"]: r for r in index.collect()}
+    assert all((r.low is None) == (i not in {s for s, _ in pairs}) for i, r in at.items())
+    assert not at[0].low <= at[0].start <= at[0].high and at[1].low == at[1].high == at[2].start
+    cuts, own = [], reach._cut
+    monkeypatch.setattr(reach, "_cut", lambda df: cuts.append(own(df)) or cuts[-1])
+    asked = spark.createDataFrame([(s, 1) for s in range(4, n)], "src long, dst long")
+    assert reach.behind(asked, index, edges).collect() == []
+    assert all(c.count() == 0 for c in cuts if "yes" in c.columns)

@@ -49,41 +49,65 @@ def _starts(sized: DataFrame) -> DataFrame:
 
 def labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(index, start, end, low, high): the index. ``edges`` (src, dst) are acyclic: src uses dst; nodes that only
-    edges name are left out. A row a node, whatever the graph; the intervals low to high spread by one edge
-    a round until none grows."""
-    pairs = _cut(edges.select("src", "dst").distinct())
+    edges name are left out. A row a node, whatever the graph; the intervals low to high hold the numbers of all that is
+    behind a node (null: nothing), not its own, and spread by one edge a round until none grows."""
+    pairs = _cut(edges.select("src", "dst").repartition("src").distinct())
     own = _starts(_sizes(_forest(nodes, pairs)))
-    now = _cut(own.withColumns({"low": F.col("start"), "high": F.col("end"), "grew": F.lit(True)}))
+    none = F.lit(None).cast("bigint")
+    now = _cut(own.withColumns({"low": none, "high": none, "grew": F.lit(True)}))
     while not now.where("grew").isEmpty():
-        grown = now.where("grew").select(F.col("index").alias("dst"), "low", "high")
+        low, high = F.least("start", "low"), F.greatest("end", "high")  # nulls are passed over
+        grown = now.where("grew").select(F.col("index").alias("dst"), low.alias("low"), high.alias("high"))
         spread = pairs.join(grown, "dst").groupBy(F.col("src").alias("index")).agg(F.min("low").alias("l"), F.max("high").alias("h"))
-        low, high = F.least("low", "l"), F.greatest("high", "h")  # nulls are passed over
-        grew = (low < F.col("low")) | (high > F.col("high"))
+        low, high = F.least("low", "l"), F.greatest("high", "h")
+        grew = ~low.eqNullSafe(F.col("low")) | ~high.eqNullSafe(F.col("high"))
         now = _cut(now.join(spread, "index", "left").select("index", "start", "end", low.alias("low"), high.alias("high"), grew.alias("grew")))
     return now.select("index", "start", "end", "low", "high")
 
 
+def _asked(pairs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The rows (src, dst) of ``pairs`` whose dst ``targets`` (dst, ...) has, each once, with the other columns of
+    ``targets``; dealt by src, so that what is joined by src takes no further shuffle. Only the targets that are asked
+    for are joined: many pairs may ask for few."""
+    few = _cut(targets.join(pairs.select("dst").distinct(), "dst", "left_semi"))
+    return pairs.select("src", "dst").where("src <> dst").repartition("src").distinct().join(few, "dst")
+
+
+def _behind(asked: DataFrame, index: DataFrame, edges: DataFrame) -> DataFrame:
+    """``behind`` for distinct pairs with the number of dst. Dependencies carry the intervals of what they lead to, so what
+    cannot lead to dst is dropped where it is met, before it is shuffled or written."""
+    known = index.select(F.col("index").alias("at"), "start", "end", "low", "high")
+    inside, may = F.col("number").between(F.col("start"), F.col("end")), F.col("number").between(F.col("low"), F.col("high"))
+    begun = asked.withColumn("at", F.col("src")).join(known, "at")
+    here = _cut(begun.where(inside | may).select("src", "dst", "number", "at", inside.alias("yes")))
+    proved, steps = [here.where("yes").select("src", "dst")], None
+    front = here.where("not yes")
+    while not front.isEmpty():
+        if steps is None:
+            leads = known.withColumnRenamed("at", "next")
+            steps = _cut(edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).join(leads, "next"))
+        met = front.select("src", "dst", "number", "at").join(steps, "at").where(inside | may)
+        here = _cut(met.select("src", "dst", "number", F.col("next").alias("at"), F.coalesce(inside, F.lit(False)).alias("yes")).distinct())
+        found = here.where("yes").select("src", "dst").distinct()
+        proved.append(found)
+        front = _cut(here.where("not yes").join(found, ["src", "dst"], "left_anti"))
+    return _union(proved)
+
+
+def _numbers(index: DataFrame) -> DataFrame:
+    return index.select(F.col("index").alias("dst"), F.col("start").alias("number"))
+
+
 def behind(pairs: DataFrame, index: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows (src, dst) of ``pairs``, each once, where src uses dst directly or by others. ``index``: what
     ``labels`` gives for ``edges``. A node is not behind itself; pairs with unknown nodes are not."""
-    known = index.select(F.col("index").alias("at"), "start", "end", "low", "high")
-    number = index.select(F.col("index").alias("dst"), F.col("start").alias("number"))
-    asked = pairs.select("src", "dst").where("src <> dst").distinct().join(number, "dst").withColumn("at", F.col("src"))
-    direct = edges.select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
-    inside = F.col("number").between(F.col("start"), F.col("end"))
-    proved, front = [], asked
-    while True:
-        here = _cut(front.join(known, "at").where(F.col("number").between(F.col("low"), F.col("high"))).select("src", "dst", "number", "at", inside.alias("yes")))
-        proved.append(here.where("yes").select("src", "dst").distinct())
-        left = here.where("not yes").join(_union(proved), ["src", "dst"], "left_anti")
-        if left.isEmpty():
-            return _union(proved)
-        front = left.join(direct, "at").select("src", "dst", "number", F.col("next").alias("at")).distinct()
+    return _behind(_asked(pairs, _numbers(index)), index, edges)
 
 
 def not_declared(used: DataFrame, edges: DataFrame, index: DataFrame) -> DataFrame:
     """(src, dst) that src was found to use although dst is made from something itself and is not behind src:
     it might not have been made yet."""
     made = edges.select(F.col("src").alias("dst")).distinct()
-    asked = used.select("src", "dst").where("src <> dst").distinct().join(made, "dst", "left_semi").select("src", "dst")
-    return asked.join(behind(asked, index, edges), ["src", "dst"], "left_anti")
+    asked = _cut(_asked(used, made.join(_numbers(index), "dst", "left")))
+    proved = _behind(asked.where("number is not null"), index, edges)
+    return asked.select("src", "dst").join(proved, ["src", "dst"], "left_anti")
