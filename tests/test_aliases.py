@@ -26,3 +26,11 @@ def test_an_alias_of_itself_is_an_error(spark):
     with pytest.raises(graph.CycleError):
         listed(spark, [("p", 0, "a")], [("a", 0, "a")])
     assert listed(spark, [("p", 0, "x")], [("a", 0, "a")]) == {"p": ["x"]}
+
+
+def test_a_task_counts_a_bounded_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(aliases, "COUNTED", 50)
+    rows = spark.range(1000).selectExpr("id % 300 as id", "id % 3 as name").unionAll(spark.range(1000).selectExpr("id % 300 as id", "id % 3 as name"))
+    got = aliases.times(rows)
+    assert got.rdd.getNumPartitions() == 40
+    assert {(r.id, r.name): r.times for r in got.collect()} == {(i, i % 3): 8 if i < 100 else 6 for i in range(300)}

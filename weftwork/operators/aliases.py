@@ -30,3 +30,14 @@ def expanded(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
             raise CycleError([r["name"] for r in round_])
         if front.isEmpty():
             return _union(done)
+
+
+#: Rows that one task counts: its map of (id, name) holds no more, however many rows there are.
+COUNTED = 250_000
+
+
+def times(rows: DataFrame) -> DataFrame:
+    """(id, name, times): how often each id comes to a name, from what ``expanded`` gives. Rows are dealt by both into
+    as many tasks as they need: partitions that are joined by their packed size hold too many."""
+    tasks = max(1, -(-rows.count() // COUNTED))
+    return rows.select("id", "name").repartition(tasks, "id", "name").groupBy("id", "name").agg(F.count("*").alias("times"))
