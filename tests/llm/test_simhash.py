@@ -131,3 +131,23 @@ def test_simhash_brings_the_first_candidates_of_keep_one(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_alike", lambda pairs, *rest: asked.append({frozenset(r) for r in pairs.collect() if r.a != r.b}) or own(pairs, *rest))
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3]
     assert [len(a) for a in asked] == [1, 0, 0]
+
+
+def test_later_searches_of_components_start_from_stars(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = [rnd.choice([f"w{i}" for i in range(900)]) for _ in range(120)]
+    docs = spark.createDataFrame([(i, " ".join([*base[:-1], f"end{i}"])) for i in range(8)], "doc_id long, text string")
+    given, found, own = [], [], simhash.connected_components
+
+    def watched(edges):
+        given.append({(r.a, r.b) for r in edges.collect() if r.a != r.b})
+        parts = own(edges)
+        found.append({r.node: r.component for r in parts.collect()})
+        return parts
+
+    monkeypatch.setattr(simhash, "connected_components", watched)
+    assert [r.doc_id for r in simhash.keep_one(docs).collect()] == [0]
+    assert len(given) == 3 and len(set(found[0].values())) < len(found[0]) - 1
+    # What the first search put together comes back as one edge from each node to its component, not as all pairs.
+    again = {(a, b) for a, b in given[1] if found[0].get(a, a) == found[0].get(b, b)}
+    assert again == {(n, c) for n, c in found[0].items() if n != c} and len(given[0]) > len(again)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, tidy
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -40,7 +40,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
         then = materialize(_small_star(_large_star(now)), "edges")
         discard(now)
         now, before, state = then, state, _state(then)
+        tidy(now.sparkSession)
         if state == before:
             break
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def stars(parts: DataFrame) -> DataFrame:
+    """Edges (a, b) with the components of ``parts`` (node, component): one from each node to its least.
+    They stand for the edges that gave ``parts`` in a search over more edges."""
+    return parts.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))

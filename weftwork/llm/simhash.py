@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, buffers, discard, is_word_table, lower_table, materialize, mix, release, runs_of, small, tune, word_bounds
-from .components import connected_components
+from .common import SLICE_BYTES, buffers, discard, is_word_table, lower_table, materialize, mix, release, runs_of, small, tidy, tune, word_bounds
+from .components import connected_components, stars
 
 SEED = 42
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
@@ -300,6 +300,7 @@ def _alike(pairs: DataFrame, signatures: DataFrame, docs: DataFrame, classes: Da
     out = both.join(side("a"), "a").join(side("b"), "b").where(shared >= F.lit(similarity) * (F.col("na") + F.col("nb") - shared) - 1e-6)
     found = materialize(out.select("a", "b"), "alike")
     discard(both), discard(used), discard(some)
+    tidy(docs.sparkSession)
     return found
 
 
@@ -345,8 +346,8 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     buckets = materialize(keyed.join(ends, "key"), "buckets")
     discard(sets)
     star = buckets.where("c <> m.c").select(F.col("fp").alias("a"), F.col("m.fp").alias("b")).union(buckets.where("c <> x.c").select("fp", "x.fp"))
-    edges = close.union(_alike(star, signatures, docs, classes, k, similarity))
-    parts = connected_components(edges)
+    # What is together goes on as stars: one edge a set in place of all its links.
+    parts = connected_components(stars(parts).union(_alike(star, signatures, docs, classes, k, similarity)))
     members = materialize(buckets.select("key", "fp").join(parts, buckets.fp == parts.node, "left").select("key", "fp", F.coalesce("component", "fp").alias("c")), "members")
     discard(buckets)
     mixed = members.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
@@ -358,7 +359,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> D
     b = _signed(left, "b", F.col("key").alias("other"), F.col("c").alias("cb"), F.explode(F.array(sizes, sizes - 1)).alias("t"))
     once = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     rest = a.join(b, (a["key"] == b["other"]) & (a["s"] == b["t"]) & (F.col("ca") != F.col("cb")) & once & _near(similarity)).select("a", "b")
-    edges = edges.union(_alike(rest, signatures, docs, classes, k, similarity))
+    edges = stars(parts).union(_alike(rest, signatures, docs, classes, k, similarity))
     discard(left), discard(signatures), discard(members)
     return _components(each, classes, edges)
 
